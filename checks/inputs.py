@@ -92,7 +92,7 @@ def as_channel_events(events: DataFrame) -> DataFrame:
         kind.alias("kind"),
         F.when(kind == "message", text).alias("text"),
         F.when(is_bot, F.lit("b1")).alias("bot_id"),
-        (F.col("value") >= 2).alias("answered"),
+        F.when(F.col("value") >= 2, F.concat(F.lit("re: "), "props")).alias("response"),
     )
 
 
