@@ -30,15 +30,15 @@ class BestMatches:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
 
-    def offer(self, ids: np.ndarray, scores: np.ndarray, first: int, matched=None) -> None:
-        """``scores`` is documents x questions for the questions starting at ``first``."""
+    def offer(self, ids: np.ndarray, scores: np.ndarray, asked: np.ndarray, matched=None) -> None:
+        """``scores`` is documents x questions; ``asked`` numbers its questions."""
         # a score equal to the floor may still win by its id, so it stays
-        keep = scores >= self.floor[first : first + scores.shape[1]]
+        keep = scores >= self.floor[asked]
         if matched is not None:
             keep &= matched
         doc, question = np.nonzero(keep)
         if len(doc):
-            self.held.append((question + first, ids[doc], scores[doc, question]))
+            self.held.append((asked[question], ids[doc], scores[doc, question]))
             self.pending += len(doc)
             if self.pending > PENDING_ROWS:
                 self.compact()
@@ -89,7 +89,55 @@ def vector_scorer(qids: np.ndarray, questions: np.ndarray, k: int):
             for d in range(0, len(ids), d_step):
                 for q in range(0, len(qids), q_step):
                     scores = matrix[d : d + d_step] @ questions[q : q + q_step].T
-                    best.offer(ids[d : d + d_step], np.rint(scores * UNITS), q)
+                    asked = np.arange(q, q + scores.shape[1])
+                    best.offer(ids[d : d + d_step], np.rint(scores * UNITS), asked)
+        yield from best.rows(qids)
+
+    return run
+
+
+def cells_of(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Cell number of each vector: one bit per plane, set on its positive side."""
+    return ((vectors @ planes.T) > 0) @ (1 << np.arange(len(planes)))
+
+
+def probed_cells(vectors: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` cells nearest to each vector: those that differ from its own cell only at
+    planes it lies close to."""
+    sides = vectors @ planes.T
+    bits = (np.arange(1 << len(planes))[:, None] >> np.arange(len(planes))) & 1
+    cost = np.abs(sides) @ bits.T.astype(np.float64)
+    other = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+    return cells_of(vectors, planes)[:, None] ^ other
+
+
+def cell_scorer(
+    qids: np.ndarray, questions: np.ndarray, planes: np.ndarray, probes: int, k: int
+):
+    """As `vector_scorer`, but a question meets only the documents of its probed cells."""
+    dim = questions.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = BestMatches(len(qids), k)
+        probed = probed_cells(questions, planes, probes)
+        order = np.argsort(probed, axis=None, kind="stable")
+        owner, cell_list = order // probed.shape[1], probed.ravel()[order]
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            values, _ = flat_lists(batch.column(1))
+            matrix = values.astype(np.float64).reshape(len(ids), dim)
+            cells = cells_of(matrix, planes)
+            for cell in np.unique(cells):
+                low, high = np.searchsorted(cell_list, [cell, cell + 1])
+                asked = owner[low:high]
+                if not len(asked):
+                    continue
+                docs = np.flatnonzero(cells == cell)
+                step = max(1, BLOCK_CELLS // len(asked))
+                for d in range(0, len(docs), step):
+                    part = docs[d : d + step]
+                    scores = matrix[part] @ questions[asked].T
+                    best.offer(ids[part], np.rint(scores * UNITS), asked)
         yield from best.rows(qids)
 
     return run
@@ -161,7 +209,7 @@ def term_scorer(
                     if by_count:
                         block[doc[part][hit] - d, place[hit]] = 1.0
                         matched = (block @ pick) > 0
-                    best.offer(ids[d:stop], scores, first, matched)
+                    best.offer(ids[d:stop], scores, np.arange(first, end), matched)
         yield from best.rows(qids)
 
     return run

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeflow.functions.text import tokens
-from citeflow.operators.best_matches import OUTPUT, term_scorer, vector_scorer
+from citeflow.operators.best_matches import OUTPUT, cell_scorer, term_scorer, vector_scorer
 from citeflow.session import written
 from citeflow.sizes import broadcast_if_small
 
@@ -182,15 +182,46 @@ def semantic_search(
     Takes ``(chunk_id, vector)`` and ``(qid, vector)``. Each slice of question vectors is broadcast
     after its size is checked; the corpus is scanned in place and only best rows are shuffled.
     """
+    return _semantic(corpus_vectors, question_vectors, k, vector, vector_scorer)
+
+
+def semantic_search_ann(
+    corpus_vectors: DataFrame,
+    question_vectors: DataFrame,
+    k: int,
+    vector: str = "vector",
+    planes: int = 6,
+    probes: int = 16,
+    seed: int = 7,
+) -> DataFrame:
+    """As `semantic_search`, scoring a question only against the ``probes`` nearest of
+    ``2 ** planes`` cells cut by random hyperplanes.
+
+    Approximate by design: the share of the exact result it finds grows with ``probes``, up to all
+    of it when every cell is probed. Work is split by corpus partition, not by cell, so a cell that
+    holds a third of the corpus is no hot spot, and scores are exact for every pair looked at.
+    """
+    if not 1 <= planes <= 12:
+        raise ValueError("planes must be between 1 and 12")
+
+    def scorer(qids, matrix, k):
+        cut = np.random.default_rng(seed).standard_normal((planes, matrix.shape[1]))
+        return cell_scorer(qids, matrix, cut, min(probes, 1 << planes), k)
+
+    return _semantic(corpus_vectors, question_vectors, k, vector, scorer)
+
+
+def _semantic(corpus_vectors, question_vectors, k, vector, scorer) -> DataFrame:
     asked = question_vectors.filter(F.col(vector).isNotNull()).select("qid", vector)
     n, dim = asked.agg(F.count("*"), F.max(F.size(vector))).first()
     if not n:
         return _no_hits(asked.sparkSession)
-    parts = [_semantic_slice(corpus_vectors, q, k, vector) for q in _slices(asked, n * dim)]
+    held = corpus_vectors.filter(F.col(vector).isNotNull()).select("chunk_id", vector)
+    parts = [_semantic_slice(held, q, k, vector, scorer) for q in _slices(asked, n * dim)]
     return _ranked(reduce(DataFrame.unionByName, [p for p in parts if p is not None]), k)
 
 
-def _semantic_slice(corpus_vectors, asked, k, vector) -> DataFrame | None:
+def _semantic_slice(held, asked, k, vector, scorer) -> DataFrame | None:
     rows = asked.toPandas()
     if rows.empty:
         return None
@@ -199,20 +230,36 @@ def _semantic_slice(corpus_vectors, asked, k, vector) -> DataFrame | None:
     state = asked.sparkSession.sparkContext.broadcast((qids, matrix))
 
     def run(batches):
-        return vector_scorer(*state.value, k)(batches)
+        return scorer(*state.value, k)(batches)
 
-    held = corpus_vectors.filter(F.col(vector).isNotNull()).select("chunk_id", vector)
     return held.mapInArrow(run, OUTPUT)
 
 
+# --- columns of hits ------------------------------------------------------------------------
+
+
+def search_projection(hits: DataFrame, corpus: DataFrame, columns: list[str]) -> DataFrame:
+    """Add the requested corpus columns to ranked hits.
+
+    Runs after the top-k, so texts are read once for at most questions x k ids. The hits are the
+    small side; once their count is checked they are broadcast and the corpus is not shuffled.
+    """
+    wanted = corpus.select("chunk_id", *columns)
+    return broadcast_if_small(hits).join(wanted, "chunk_id").select(*hits.columns, *columns)
+
+
 # --- merging ranked lists --------------------------------------------------------------------
 
 
+def legs(semantic: DataFrame, keyword: DataFrame) -> DataFrame:
+    """Both lists of each question, told apart by ``leg``: 0 semantic, 1 keyword."""
+    return semantic.withColumn("leg", F.lit(0)).unionByName(keyword.withColumn("leg", F.lit(1)))
+
+
 def union_all_ranked(first: DataFrame, second: DataFrame) -> DataFrame:
     """``first`` followed by ``second`` within each question: ``leg`` 0 or 1 and a new ``rank``."""
-    both = first.withColumn("leg", F.lit(0)).unionByName(second.withColumn("leg", F.lit(1)))
     order = Window.partitionBy("qid").orderBy("leg", F.col("rank"))
-    return both.withColumn("rank", F.row_number().over(order))
+    return legs(first, second).withColumn("rank", F.row_number().over(order))
 
 
 def dedupe_by_text(hits: DataFrame, text: str = "chunk", order: tuple[str, ...] = ("rank",)) -> DataFrame:
@@ -224,29 +271,19 @@ def dedupe_by_text(hits: DataFrame, text: str = "chunk", order: tuple[str, ...]
     return hits.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
-def hybrid_first_seen(semantic: DataFrame, keyword: DataFrame, k: int, text: str = "chunk") -> DataFrame:
-    """Semantic list then keyword list, repeats by text dropped, first ``k`` kept.
+def hybrid_first_seen(both: DataFrame, k: int, text: str = "chunk") -> DataFrame:
+    """Semantic list then keyword list (see `legs`), repeats by text dropped, first ``k`` kept.
 
-    Both lists hold at most ``k`` rows a question, so one shuffle by question serves both windows.
+    A question has at most two short lists here, so one shuffle by question serves both windows.
     """
-    both = (
-        semantic.withColumn("leg", F.lit(0))
-        .unionByName(keyword.withColumn("leg", F.lit(1)))
-        .repartition("qid")
-    )
-    return top_k_per_query(
-        dedupe_by_text(both, text, ("leg", "rank")), k, [F.col("leg"), F.col("rank")]
-    )
+    first = dedupe_by_text(both.repartition("qid"), text, ("leg", "rank"))
+    return top_k_per_query(first, k, [F.col("leg"), F.col("rank")])
 
 
 def hybrid_boosted(
-    semantic: DataFrame,
-    keyword: DataFrame,
-    k: int,
-    text: str = "chunk",
-    normalize: str | None = "max",
+    both: DataFrame, k: int, text: str = "chunk", normalize: str | None = "max"
 ) -> DataFrame:
-    """Scored merge of two lists of up to ``2k`` rows.
+    """Scored merge of two lists (see `legs`) of up to ``2k`` rows each.
 
     A text's first semantic row counts 1.2 times its score. A keyword row takes its place only with
     a strictly greater score of its own, and keeps the place's position among ties. Missing scores
@@ -254,12 +291,8 @@ def hybrid_boosted(
     and term scores have different scales.
     """
     score = F.coalesce(F.col("score"), F.lit(0)).cast(SCORE)
-    both = (
-        semantic.withColumn("leg", F.lit(0))
-        .unionByName(keyword.withColumn("leg", F.lit(1)))
-        .repartition("qid")
-        .withColumn("score", score)
-    )
+    rest = [c for c in both.columns if c not in ("qid", "score", "rank", "leg", text)]
+    both = both.repartition("qid").withColumn("score", score)
     if normalize == "max":
         top = F.max("score").over(Window.partitionBy("qid", "leg"))
         scaled = (F.col("score").cast("double") / F.col("_top").cast("double")).cast(SCORE)
@@ -274,7 +307,6 @@ def hybrid_boosted(
     boosted = F.when(F.col("leg") == 0, F.col("score") * F.lit(SEMANTIC_BOOST)).otherwise(
         F.col("score").cast("decimal(21,10)")
     )
-    rest = [c for c in semantic.columns if c not in ("qid", "score", "rank", text)]
     row = F.struct(boosted.alias("score"), F.col("rank"), F.col("leg"), *rest)
     is_semantic, is_keyword = F.col("leg") == 0, F.col("leg") == 1
     merged = both.groupBy("qid", text).agg(
