@@ -265,9 +265,11 @@ def union_all_ranked(first: DataFrame, second: DataFrame) -> DataFrame:
 def dedupe_by_text(hits: DataFrame, text: str = "chunk", order: tuple[str, ...] = ("rank",)) -> DataFrame:
     """First hit in order per question and distinct text; keeps its rank.
 
-    A limit of one above the window lets every task drop repeats before the shuffle.
+    A limit of one above the window lets every task drop repeats before the shuffle. The hash in front
+    of the text keeps sorting from comparing long texts that differ.
     """
-    place = F.row_number().over(Window.partitionBy("qid", text).orderBy(*order))
+    same = Window.partitionBy("qid", F.xxhash64(text), text)
+    place = F.row_number().over(same.orderBy(*order))
     return hits.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
