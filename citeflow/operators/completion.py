@@ -77,7 +77,7 @@ def _offline(df: DataFrame, prompt: str, out: str) -> DataFrame:
     text = F.when(
         F.col(prompt).contains("\n<context>\n"), extractive_answer(F.col("_docs"))
     ).otherwise(extended_query(F.col(prompt)))
-    return found.withColumn(out, text).drop("_docs")
+    return found.withColumn(out, F.when(F.col(prompt).isNotNull(), text)).drop("_docs")
 
 
 def openai_client() -> Client:

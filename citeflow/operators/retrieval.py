@@ -58,6 +58,12 @@ def _slices(questions: DataFrame, entries: int) -> list[DataFrame]:
     return [questions.filter(part == i) for i in range(n)]
 
 
+def _best_of(spark, parts: list[DataFrame | None], k: int) -> DataFrame:
+    """Final ranking over the slices that had something to score."""
+    scored = [p for p in parts if p is not None]
+    return _ranked(reduce(DataFrame.unionByName, scored), k) if scored else _no_hits(spark)
+
+
 def _no_hits(spark) -> DataFrame:
     return spark.createDataFrame([], f"qid bigint, rank int, score {SCORE}, chunk_id bigint")
 
@@ -118,7 +124,7 @@ def _keyword(questions, features, size, k, k1, b) -> DataFrame:
     if entries == 0:
         return _no_hits(questions.sparkSession)
     parts = [_keyword_slice(q, features, size, k, k1, b) for q in _slices(asked, entries)]
-    return _ranked(reduce(DataFrame.unionByName, [p for p in parts if p is not None]), k)
+    return _best_of(questions.sparkSession, parts, k)
 
 
 def _keyword_slice(asked, features, size, k, k1, b) -> DataFrame | None:
@@ -191,7 +197,7 @@ def semantic_search_ann(
     k: int,
     vector: str = "vector",
     planes: int = 6,
-    probes: int = 16,
+    probes: int = 24,
     seed: int = 7,
 ) -> DataFrame:
     """As `semantic_search`, scoring a question only against the ``probes`` nearest of
@@ -218,7 +224,7 @@ def _semantic(corpus_vectors, question_vectors, k, vector, scorer) -> DataFrame:
         return _no_hits(asked.sparkSession)
     held = corpus_vectors.filter(F.col(vector).isNotNull()).select("chunk_id", vector)
     parts = [_semantic_slice(held, q, k, vector, scorer) for q in _slices(asked, n * dim)]
-    return _ranked(reduce(DataFrame.unionByName, [p for p in parts if p is not None]), k)
+    return _best_of(asked.sparkSession, parts, k)
 
 
 def _semantic_slice(held, asked, k, vector, scorer) -> DataFrame | None:

@@ -1,0 +1,143 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from checks import inputs as I
+from citeflow.operators import sessions
+from citeflow.operators.running import running_totals
+from citeflow.session import scratch_folder
+from citeflow.streaming import channels
+from tests.conftest import plan_of
+
+SCHEMA = "channel long, event_id long, ts timestamp, kind string, text string, bot_id string, response string"
+
+
+def events(spark, rows):
+    """Rows ``(channel, kind, text, bot_id, response)`` a second apart."""
+    made = [(c, i, i, k, t, b, r) for i, (c, k, t, b, r) in enumerate(rows)]
+    df = spark.createDataFrame(made, SCHEMA.replace("timestamp", "long"))
+    return df.withColumn("ts", F.timestamp_seconds("ts"))
+
+
+@pytest.fixture(scope="module")
+def story(spark):
+    return events(
+        spark,
+        [
+            (1, "clear", None, None, None),      # 0 nothing to clear yet
+            (1, "message", "hi", "b1", "x"),     # 1 bot
+            (1, "message", None, None, "x"),     # 2 no text
+            (1, "message", "", None, "a0"),      # 3 empty text passes: welcome, 2
+            (1, "message", "Q", None, ""),       # 4 no answer: stays 2
+            (1, "message", "R", None, "a1"),     # 5 4
+            (1, "clear", None, None, None),      # 6 0
+            (1, "clear", None, None, None),      # 7 still known
+            (1, "message", "S", None, "a2"),     # 8 2, no second welcome
+            (1, "end", None, None, None),        # 9 0
+            (1, "message", "T", None, "a3"),     # 10 2
+            (2, "end", None, None, None),        # 11 unknown channel
+            (3, "message", "only", "b1", "x"),   # 12 bot only: never known
+            (3, "clear", None, None, None),      # 13
+        ],
+    )
+
+
+LENGTHS = {0: (1, 0), 3: (1, 2), 4: (1, 2), 5: (1, 4), 6: (2, 0), 7: (3, 0), 8: (3, 2), 9: (4, 0), 10: (4, 2), 11: (1, 0), 13: (1, 0)}
+
+
+@pytest.mark.parametrize("rows_per_slice", [1000, 2])
+def test_history_state(story, rows_per_slice):
+    state = sessions.channel_history_state(story, rows_per_slice=rows_per_slice)
+    assert {r.event_id: (r.epoch, r.history_len) for r in state.collect()} == LENGTHS
+
+
+def test_notices(story):
+    cleared = {r.event_id: (r.known, r.notice) for r in sessions.clear_history(story).collect()}
+    assert cleared == {
+        0: (False, sessions.NOTHING_TO_CLEAR), 6: (True, sessions.CLEARED), 7: (True, sessions.CLEARED),
+        13: (False, sessions.NOTHING_TO_CLEAR),
+    }
+    ended = {r.event_id: r.known for r in sessions.end_session(story).collect()}
+    assert ended == {9: True, 11: False}
+    assert [(r.channel, r.event_id) for r in sessions.first_contact(story).collect()] == [(1, 3)]
+    assert [r.channel for r in sessions.active_channels(story).collect()] == [1]
+    assert sorted(r.event_id for r in sessions.message_filter(story).collect()) == [3, 4, 5, 8, 10]
+
+
+def test_stream_over_several_files_equals_batch(spark, sf):
+    raw = spark.read.parquet(f"{sf}/events.parquet")
+    folder = scratch_folder(spark, "events")
+    # one file after the other in order of time, one micro-batch each
+    span = raw.selectExpr("min(event_id) low", "max(event_id) high").first()
+    step = (span.high - span.low) // 4 + 1
+    for low in range(span.low, span.high + 1, step):
+        part = raw.filter(F.col("event_id").between(low, low + step - 1))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = channels.read_events(spark, folder, raw.schema, files_per_batch=1)
+    state = channels.run_to_end(channels.channel_state_stream(I.as_channel_events(stream)), "state", state_partitions=3)
+    batch = sessions.channel_history_state(I.channel_events(spark, sf))
+    got = state.select(*batch.columns)
+    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+    first = sessions.first_contact(I.channel_events(spark, sf)).select("channel", "event_id")
+    assert state.filter("welcome").select("channel", "event_id").exceptAll(first).count() == 0
+    clear = sessions.clear_history(I.channel_events(spark, sf))
+    assert state.filter("kind = 'clear'").select(*clear.columns).exceptAll(clear).count() == 0
+
+
+def test_stream_keeps_its_place(spark, sf, tmp_path):
+    raw = spark.read.parquet(f"{sf}/events.parquet").orderBy("ts")
+    folder, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    cut = raw.selectExpr("percentile_approx(unix_micros(timestamp(ts)), 0.5)").first()[0]
+    early = F.unix_micros(F.col("ts").cast("timestamp")) <= cut
+
+    def run():
+        stream = channels.read_events(spark, folder, raw.schema)
+        return channels.run_to_end(
+            channels.channel_state_stream(I.as_channel_events(stream)), "s", path=sink, state_partitions=2
+        )
+
+    raw.filter(early).coalesce(1).write.mode("append").parquet(folder)
+    first = run().count()
+    raw.filter(~early).coalesce(1).write.mode("append").parquet(folder)
+    both = run()
+    batch = sessions.channel_history_state(I.channel_events(spark, sf))
+    assert first < both.count() == batch.count()
+    assert both.select(*batch.columns).exceptAll(batch).count() == 0
+
+
+def test_running_totals_with_a_hot_key(spark):
+    rng = random.Random(3)
+    rows = [(0 if rng.random() < 0.5 else rng.randint(1, 9), rng.randint(0, 400), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "key int, t long, id long").withColumn("ts", F.timestamp_seconds("t"))
+    one = F.lit(1)
+    for descending in (False, True):
+        whole = running_totals(df, ["key"], "ts", "id", {"n": one, "s": F.col("id")}, descending)
+        cut = running_totals(df, ["key"], "ts", "id", {"n": one, "s": F.col("id")}, descending, rows_per_slice=100)
+        assert whole.exceptAll(cut).count() == 0 and whole.count() == cut.count() == 1500
+
+
+def test_deletions(spark):
+    rows = [(1, "message", "x", "b1" if i % 3 == 0 else ("" if i == 1 else None), None) for i in range(250)]
+    messages = events(spark, rows + [(2, "message", "y", None, None)])
+    ended = spark.createDataFrame([(1,), (1,)], "channel long")
+    plan = {r.event_id: (r.page_no, r.credential) for r in sessions.deletion_plan(messages, ended).collect()}
+    assert len(plan) == 250 and plan[249] == (0, "bot") and plan[150][0] == 0 and plan[149][0] == 1 and plan[0][0] == 2
+    assert plan[1][1] == "user"
+    bots = sessions.deletion_plan(messages, ended, has_user_credential=False).collect()
+    assert {r.credential for r in bots} == {"bot"} and all(plan[r.event_id][0] == r.page_no for r in bots)
+    sliced = sessions.deletion_plan(messages, ended, rows_per_slice=40)
+    assert {r.event_id: (r.page_no, r.credential) for r in sliced.collect()} == plan
+    active = spark.createDataFrame([(1,), (2,), (3,)], "channel long")
+    purge = sessions.purge_all(messages, active)
+    assert purge.count() == 251 and {r.credential for r in purge.collect()} == {"bot"}
+
+
+def test_joins(spark):
+    joins = spark.createDataFrame([(1, "0"), (2, "5"), (3, None)], "channel long, user string")
+    assert [r.channel for r in sessions.self_join_filter(joins, "0").collect()] == [1]
+
+
+def test_hot_channel_is_not_one_window(spark, story):
+    plan = plan_of(sessions.channel_history_state(story, rows_per_slice=2))
+    assert "_slice" in plan
