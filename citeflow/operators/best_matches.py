@@ -22,11 +22,15 @@ PENDING_ROWS = 1_000_000
 
 
 class BestMatches:
-    """Running best ``k`` per question by score descending, then document id ascending."""
+    """Running best ``k`` per question by score descending, then document id ascending.
 
-    def __init__(self, n_questions: int, k: int):
+    ``floor`` holds a score per question that at least ``k`` documents are known to reach; lower ones
+    cannot be in the result. It rises as documents come in.
+    """
+
+    def __init__(self, n_questions: int, k: int, floor: np.ndarray | None = None):
         self.k = k
-        self.floor = np.full(n_questions, -np.inf)
+        self.floor = np.full(n_questions, -np.inf) if floor is None else floor.copy()
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
 
@@ -51,7 +55,7 @@ class BestMatches:
         question, ids, scores = question[order], ids[order], scores[order]
         place = np.arange(len(question)) - np.searchsorted(question, question)
         last = place == self.k - 1
-        self.floor[question[last]] = scores[last]
+        self.floor[question[last]] = np.maximum(self.floor[question[last]], scores[last])
         keep = place < self.k
         self.held = [(question[keep], ids[keep], scores[keep])]
         self.pending = 0
@@ -72,12 +76,12 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ).astype(np.int64)
 
 
-def vector_scorer(qids: np.ndarray, questions: np.ndarray, k: int):
+def vector_scorer(qids: np.ndarray, questions: np.ndarray, k: int, floor=None):
     """Scores ``(chunk_id, vector)`` batches by the dot product with each question vector."""
     dim = questions.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestMatches(len(qids), k)
+        best = BestMatches(len(qids), k, floor)
         q_step = max(1, min(len(qids), 1024))
         d_step = max(1, BLOCK_CELLS // max(q_step, dim))
         for batch in batches:
@@ -112,13 +116,13 @@ def probed_cells(vectors: np.ndarray, planes: np.ndarray, probes: int) -> np.nda
 
 
 def cell_scorer(
-    qids: np.ndarray, questions: np.ndarray, planes: np.ndarray, probes: int, k: int
+    qids: np.ndarray, questions: np.ndarray, planes: np.ndarray, probes: int, k: int, floor=None
 ):
     """As `vector_scorer`, but a question meets only the documents of its probed cells."""
     dim = questions.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestMatches(len(qids), k)
+        best = BestMatches(len(qids), k, floor)
         probed = probed_cells(questions, planes, probes)
         order = np.argsort(probed, axis=None, kind="stable")
         owner, cell_list = order // probed.shape[1], probed.ravel()[order]
@@ -167,6 +171,7 @@ def term_scorer(
     k: int,
     k1: float,
     b: float,
+    floor=None,
 ):
     """Scores ``(chunk_id, length, term ids, term counts)`` batches by BM25.
 
@@ -174,7 +179,7 @@ def term_scorer(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestMatches(len(qids), k)
+        best = BestMatches(len(qids), k, floor)
         blocks = list(question_blocks(offsets, terms))
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)

@@ -28,6 +28,9 @@ SEMANTIC_BOOST = Decimal("1.2")
 # One broadcast of questions holds at most this many (question, term) entries or vector numbers;
 # larger question sets are answered in slices of that size, each exact.
 SLICE_ENTRIES = 2_000_000
+# A corpus in more files than this first scores a small share of its rows, see `_best_rows`.
+PRIME_FILES = 1_000
+PRIME_SHARE = 0.001
 
 
 # --- top-k -----------------------------------------------------------------------------------
@@ -64,6 +67,38 @@ def _best_of(spark, parts: list[DataFrame | None], k: int) -> DataFrame:
     return _ranked(reduce(DataFrame.unionByName, scored), k) if scored else _no_hits(spark)
 
 
+def _best_rows(held: DataFrame, scorer, state: tuple, qids: np.ndarray, k: int) -> DataFrame:
+    """Score ``held`` block by block against the broadcast ``state``.
+
+    Each task may emit ``k`` rows per question, which adds up when a corpus has very many tasks. Such
+    a corpus first finds the ``k``-th best score per question among a small share of its rows. That
+    score is a lower bound for the whole corpus, so starting every task from it drops only rows that
+    cannot be in the result, whichever rows were drawn.
+    """
+    context = held.sparkSession.sparkContext
+    asked = context.broadcast(state)
+
+    def run(batches):
+        return scorer(*asked.value)(batches)
+
+    if len(held.inputFiles()) <= PRIME_FILES:
+        return held.mapInArrow(run, OUTPUT)
+    drawn = held.sample(PRIME_SHARE, seed=1).mapInArrow(run, OUTPUT)
+    kth = (
+        top_k_per_query(drawn, k, [F.col("score_units").desc(), F.col("chunk_id")])
+        .filter(F.col("rank") == k)
+        .select("qid", "score_units")
+        .toPandas()
+    )
+    bound = kth.set_index("qid")["score_units"].reindex(qids).to_numpy(dtype=np.float64)
+    floor = context.broadcast(np.where(np.isnan(bound), -np.inf, bound))
+
+    def run_from_floor(batches):
+        return scorer(*asked.value, floor=floor.value)(batches)
+
+    return held.mapInArrow(run_from_floor, OUTPUT)
+
+
 def _no_hits(spark) -> DataFrame:
     return spark.createDataFrame([], f"qid bigint, rank int, score {SCORE}, chunk_id bigint")
 
@@ -160,21 +195,12 @@ def _keyword_slice(asked, features, size, k, k1, b) -> DataFrame | None:
 
     rows = model.transform(asked).select("qid", "terms").toPandas()
     offsets = np.concatenate([[0], np.cumsum([len(t.indices) for t in rows["terms"]])])
-    state = spark.sparkContext.broadcast(
-        (
-            rows["qid"].to_numpy(dtype=np.int64),
-            offsets.astype(np.int64),
-            np.concatenate([t.indices for t in rows["terms"]]),
-            idf,
-            total_length / n_docs,
-        )
-    )
-
-    def run(batches):
-        return term_scorer(*state.value, k, k1, b)(batches)
-
+    qids = rows["qid"].to_numpy(dtype=np.int64)
+    terms = np.concatenate([t.indices for t in rows["terms"]])
+    state = (qids, offsets.astype(np.int64), terms, idf, total_length / n_docs, k, k1, b)
     matching = counts.filter(F.size("term_ids") > 0)
-    return matching.select("chunk_id", "length", "term_ids", "term_counts").mapInArrow(run, OUTPUT)
+    held = matching.select("chunk_id", "length", "term_ids", "term_counts")
+    return _best_rows(held, term_scorer, state, qids, k)
 
 
 # --- semantic leg ----------------------------------------------------------------------------
@@ -188,7 +214,9 @@ def semantic_search(
     Takes ``(chunk_id, vector)`` and ``(qid, vector)``. Each slice of question vectors is broadcast
     after its size is checked; the corpus is scanned in place and only best rows are shuffled.
     """
-    return _semantic(corpus_vectors, question_vectors, k, vector, vector_scorer)
+    return _semantic(
+        corpus_vectors, question_vectors, k, vector, vector_scorer, lambda qids, m: (qids, m, k)
+    )
 
 
 def semantic_search_ann(
@@ -210,37 +238,29 @@ def semantic_search_ann(
     if not 1 <= planes <= 12:
         raise ValueError("planes must be between 1 and 12")
 
-    def scorer(qids, matrix, k):
+    def state(qids, matrix):
         cut = np.random.default_rng(seed).standard_normal((planes, matrix.shape[1]))
-        return cell_scorer(qids, matrix, cut, min(probes, 1 << planes), k)
+        return (qids, matrix, cut, min(probes, 1 << planes), k)
 
-    return _semantic(corpus_vectors, question_vectors, k, vector, scorer)
+    return _semantic(corpus_vectors, question_vectors, k, vector, cell_scorer, state)
 
 
-def _semantic(corpus_vectors, question_vectors, k, vector, scorer) -> DataFrame:
+def _semantic(corpus_vectors, question_vectors, k, vector, scorer, state) -> DataFrame:
     asked = question_vectors.filter(F.col(vector).isNotNull()).select("qid", vector)
     n, dim = asked.agg(F.count("*"), F.max(F.size(vector))).first()
     if not n:
         return _no_hits(asked.sparkSession)
     held = corpus_vectors.filter(F.col(vector).isNotNull()).select("chunk_id", vector)
-    parts = [_semantic_slice(held, q, k, vector, scorer) for q in _slices(asked, n * dim)]
+    parts = []
+    for part in _slices(asked, n * dim):
+        rows = part.toPandas()
+        if len(rows):
+            qids = rows["qid"].to_numpy(dtype=np.int64)
+            matrix = np.stack(rows[vector].to_numpy()).astype(np.float64)
+            parts.append(_best_rows(held, scorer, state(qids, matrix), qids, k))
     return _best_of(asked.sparkSession, parts, k)
 
 
-def _semantic_slice(held, asked, k, vector, scorer) -> DataFrame | None:
-    rows = asked.toPandas()
-    if rows.empty:
-        return None
-    qids = rows["qid"].to_numpy(dtype=np.int64)
-    matrix = np.stack(rows[vector].to_numpy()).astype(np.float64)
-    state = asked.sparkSession.sparkContext.broadcast((qids, matrix))
-
-    def run(batches):
-        return scorer(*state.value, k)(batches)
-
-    return held.mapInArrow(run, OUTPUT)
-
-
 # --- columns of hits ------------------------------------------------------------------------
 
 

@@ -80,6 +80,16 @@ def test_keyword_in_slices_and_small_blocks(small, monkeypatch):
     assert as_set(retrieval.keyword_search(corpus, questions, 4)) == bm25(rows, QUESTIONS, 4)
 
 
+def test_floors_from_a_few_rows_change_nothing(small, vector_frames, monkeypatch):
+    rows, corpus, questions = small
+    vectors_, asked, want = vector_frames
+    monkeypatch.setattr(retrieval, "PRIME_FILES", -1)
+    for share in (0.0, 0.05, 0.5, 1.0):
+        monkeypatch.setattr(retrieval, "PRIME_SHARE", share)
+        assert as_set(retrieval.keyword_search(corpus, questions, 4)) == bm25(rows, QUESTIONS, 4)
+        assert units(retrieval.semantic_search(vectors_, asked, 6)) == want
+
+
 def test_keyword_over_stored_index(small, spark, tmp_path):
     rows, corpus, questions = small
     path = str(tmp_path / "index")
