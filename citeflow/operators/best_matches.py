@@ -147,7 +147,7 @@ def cell_scorer(
     return run
 
 
-def question_blocks(offsets: np.ndarray, terms: np.ndarray, max_terms=4096, max_questions=256):
+def question_blocks(offsets: np.ndarray, terms: np.ndarray, max_terms=8192, max_questions=256):
     """Cut questions into runs ``[first, end)`` of bounded size."""
     first, n = 0, len(offsets) - 1
     while first < n:

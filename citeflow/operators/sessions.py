@@ -43,24 +43,21 @@ def relevant_events(events: DataFrame) -> DataFrame:
 def channel_history_state(events: DataFrame, **slicing) -> DataFrame:
     """``(channel, event_id, kind, epoch, history_len)`` after each accepted message and reset.
 
-    An epoch starts with every clear or end. An answered message adds two entries. The entries an
-    epoch starts from are the least running count of that epoch, found by a grouped minimum.
+    An epoch starts with every clear or end. An answered message adds two entries; the history holds
+    those that came after the latest reset.
     """
     entries = F.when(is_accepted() & is_answered(F.col("response")), 2).otherwise(0)
-    resets = F.when(is_reset(), 1).otherwise(0)
     counted = running_totals(
-        relevant_events(events), ["channel"], "ts", "event_id", {"_entries": entries, "epoch": resets}, **slicing
-    )
-    started = (
-        counted.filter(is_reset()).groupBy("channel", "epoch").agg(F.min("_entries").alias("_start"))
-    )
-    return counted.join(started, ["channel", "epoch"], "left").select(
-        "channel",
+        relevant_events(events),
+        ["channel"],
+        "ts",
         "event_id",
-        "kind",
-        "epoch",
-        (F.col("_entries") - F.coalesce("_start", F.lit(0))).alias("history_len"),
+        {"_entries": entries, "epoch": F.when(is_reset(), 1).otherwise(0)},
+        {"_at_reset": ("_entries", is_reset())},
+        **slicing,
     )
+    length = (F.col("_entries") - F.col("_at_reset")).alias("history_len")
+    return counted.select("channel", "event_id", "kind", "epoch", length)
 
 
 def first_contact(events: DataFrame) -> DataFrame:

@@ -110,10 +110,10 @@ def test_running_totals_with_a_hot_key(spark):
     rng = random.Random(3)
     rows = [(0 if rng.random() < 0.5 else rng.randint(1, 9), rng.randint(0, 400), i) for i in range(1500)]
     df = spark.createDataFrame(rows, "key int, t long, id long").withColumn("ts", F.timestamp_seconds("t"))
-    one = F.lit(1)
+    one, marks = F.lit(1), {"n_at": ("n", F.col("id") % 7 == 0)}
     for descending in (False, True):
-        whole = running_totals(df, ["key"], "ts", "id", {"n": one, "s": F.col("id")}, descending)
-        cut = running_totals(df, ["key"], "ts", "id", {"n": one, "s": F.col("id")}, descending, rows_per_slice=100)
+        whole = running_totals(df, ["key"], "ts", "id", {"n": one, "s": F.col("id")}, marks, descending)
+        cut = running_totals(df, ["key"], "ts", "id", {"n": one, "s": F.col("id")}, marks, descending, rows_per_slice=100)
         assert whole.exceptAll(cut).count() == 0 and whole.count() == cut.count() == 1500
 
 
