@@ -29,7 +29,7 @@ def compare(spark, con, sf: str, name: str) -> str:
     if name not in ORACLE_SQL:
         return f"ROWS ONLY {table.num_rows} rows, {took:.1f}s"
     start = time.time()
-    want = con.execute(ORACLE_SQL[name]).to_arrow_table()
+    want = con.sql(ORACLE_SQL[name]).to_arrow_table()
     sql_took = time.time() - start
     columns = sorted(table.column_names)
     if columns != sorted(want.column_names):

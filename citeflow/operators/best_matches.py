@@ -36,6 +36,10 @@ class BestMatches:
 
     def offer(self, ids: np.ndarray, scores: np.ndarray, asked: np.ndarray, matched=None) -> None:
         """``scores`` is documents x questions; ``asked`` numbers its questions."""
+        if len(ids) > self.k and np.isneginf(self.floor[asked]).any():
+            # the block itself shows a score that k of its documents reach
+            kth = np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k]
+            self.floor[asked] = np.maximum(self.floor[asked], kth)
         # a score equal to the floor may still win by its id, so it stays
         keep = scores >= self.floor[asked]
         if matched is not None:

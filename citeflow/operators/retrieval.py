@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from citeflow.functions.text import tokens
 from citeflow.operators.best_matches import OUTPUT, cell_scorer, term_scorer, vector_scorer
 from citeflow.session import written
-from citeflow.sizes import broadcast_if_small
+from citeflow.sizes import BROADCAST_IDS, BROADCAST_ROWS, broadcast_if_small
 
 SCORE = "decimal(18,9)"
 K1 = 1.2
@@ -267,11 +267,17 @@ def _semantic(corpus_vectors, question_vectors, k, vector, scorer, state) -> Dat
 def search_projection(hits: DataFrame, corpus: DataFrame, columns: list[str]) -> DataFrame:
     """Add the requested corpus columns to ranked hits.
 
-    Runs after the top-k, so texts are read once for at most questions x k ids. The hits are the
-    small side; once their count is checked they are broadcast and the corpus is not shuffled.
+    Runs after the top-k, so texts are read for at most questions x k ids. Counted hits are broadcast
+    and the corpus is not shuffled. With too many hits for that, their distinct ids alone are
+    broadcast, up to a larger bound, and only chunks that were hit are shuffled to the join.
     """
     wanted = corpus.select("chunk_id", *columns)
-    return broadcast_if_small(hits).join(wanted, "chunk_id").select(*hits.columns, *columns)
+    if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = F.broadcast(hits).join(wanted, "chunk_id")
+    else:
+        ids = broadcast_if_small(hits.select("chunk_id").distinct(), BROADCAST_IDS)
+        joined = hits.join(wanted.join(ids, "chunk_id", "left_semi"), "chunk_id")
+    return joined.select(*hits.columns, *columns)
 
 
 # --- merging ranked lists --------------------------------------------------------------------

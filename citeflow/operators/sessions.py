@@ -18,6 +18,7 @@ from citeflow.sizes import broadcast_if_small
 CLEARED = "The history of this conversation is empty again."
 NOTHING_TO_CLEAR = "There is no history to clear yet."
 ENDED = "The session has ended and its history is gone."
+NOT_ENDED = "The session could not be ended. Please try again."
 BOT_CREDENTIAL = "bot"
 USER_CREDENTIAL = "user"
 
@@ -91,13 +92,17 @@ def clear_history(events: DataFrame) -> DataFrame:
     )
 
 
-def end_session(events: DataFrame) -> DataFrame:
+def end_session(events: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """``(channel, event_id, known, notice)`` per end action; the history of a known channel is
-    emptied, and the notice is the same either way."""
-    actions = events.filter(F.col("kind") == "end")
-    return _with_known(actions, events).select(
-        "channel", "event_id", "known", F.lit(ENDED).alias("notice")
-    )
+    emptied, and the notice is the same either way. ``failed`` lists the ``event_id`` of actions whose
+    deletions broke off; they get a notice of their own."""
+    actions = _with_known(events.filter(F.col("kind") == "end"), events)
+    notice = F.lit(ENDED)
+    if failed is not None:
+        broken = failed.select("event_id").distinct().withColumn("_failed", F.lit(True))
+        actions = actions.join(broadcast_if_small(broken), "event_id", "left")
+        notice = F.when(F.col("_failed"), F.lit(NOT_ENDED)).otherwise(notice)
+    return actions.select("channel", "event_id", "known", notice.alias("notice"))
 
 
 def self_join_filter(joins: DataFrame, bot_user: str) -> DataFrame:

@@ -21,6 +21,8 @@ from citeflow.operators.rendering import rendered_pages
 from citeflow.operators.retrieval import hybrid_first_seen, legs, search_projection
 from citeflow.session import written
 from citeflow.settings import Settings
+from citeflow.sources.corpus import content_fallback
+from citeflow.sources.transcript import transcript_rows
 
 # A search: questions ``(qid, question)`` and k to hits ``(qid, rank, score, chunk_id)``.
 Search = Callable[[DataFrame, int], DataFrame]
@@ -55,12 +57,14 @@ def answer_web(
 
     Returns ``(qid, question, chat_history, search_query, context, response, formatted, display)``.
     """
-    k, url, text = settings.num_chunks, settings.url_column, settings.search_column
+    k, text = settings.num_chunks, settings.search_column
+    url = settings.url_column if settings.url_column in corpus.columns else None
+    columns = [text, url] if url else [text]
     asked = searched_questions(questions, messages, settings)
     query = asked.select("qid", F.col("search_query").alias("question"))
     hits = written(legs(semantic(query, k), keyword(query, k)), "hits")
-    merged = hybrid_first_seen(search_projection(hits, corpus, [text, url]), k, text)
-    found = ctx.result_lists(asked, merged, [text, url])
+    merged = hybrid_first_seen(search_projection(hits, corpus, columns), k, text)
+    found = ctx.result_lists(asked, merged, columns)
     prompted = found.withColumn(
         "context", ctx.context_web(F.col("results"), text, url)
     ).withColumn("prompt", prompt_web(F.col("chat_history"), F.col("context"), F.col("question")))
@@ -86,21 +90,34 @@ def answer_bot(
     Returns ``(qid, question, context, citations, response, shown)``; ``shown`` is the apology when
     there is no response.
     """
-    k, url, title = settings.num_chunks, settings.url_column, settings.title_column
-    text = settings.search_column
+    k, text = settings.num_chunks, settings.search_column
+    columns = [c for c in (text, settings.title_column, settings.url_column) if c in corpus.columns]
     asked = questions.withColumn("question", question_normalize(F.col("question"), "bot"))
     hits = written(search(asked.select("qid", "question"), k), "hits")
-    results = search_projection(hits, corpus, [text, title, url])
-    found = ctx.result_lists(asked, results, [text, title, url])
+    results = content_fallback(search_projection(hits, corpus, columns), text, columns).select(
+        "qid",
+        "rank",
+        "content_text",
+        ctx.title_or_unknown(corpus, settings.title_column).alias("title"),
+        ctx.url_or_unknown(corpus, settings.url_column).alias("url"),
+    )
+    found = ctx.result_lists(asked, results, ["content_text", "title", "url"])
     prompted = (
-        found.withColumn("context", ctx.context_bot(F.col("results"), text, url))
-        .withColumn("citations", ctx.citations_by_url(F.col("results"), url, title))
+        found.withColumn("context", ctx.context_bot(F.col("results"), "content_text"))
+        .withColumn("citations", ctx.citations_by_url(F.col("results")))
         .withColumn("prompt", prompt_bot(F.col("context"), F.col("citations"), F.col("question")))
     )
     answered = complete(prompted.drop("results"), settings)
     return answered.withColumn("shown", response_or_apology(F.col("response"))).drop("prompt")
 
 
+def web_transcript(questions: DataFrame, answered: DataFrame) -> DataFrame:
+    """Transcript rows of web answers for ``(qid, turn, question)``: the question as it was typed, and
+    the response as it came, always both."""
+    pairs = questions.select("qid", "turn", "question").join(answered.select("qid", "response"), "qid")
+    return transcript_rows(pairs.withColumnRenamed("qid", "conv_id"), only_answered=False)
+
+
 def answer_pages(answered: DataFrame) -> DataFrame:
     """Message pages of the answers of `answer_bot` that have a response."""
     told = answered.filter(F.coalesce("response", F.lit("")) != "")

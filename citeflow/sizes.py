@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Rows a hinted broadcast side may hold. The sides hinted here are narrow (ids, ranks, short keys);
 # at 200 bytes a row this bounds one broadcast at about 100 MB.
 BROADCAST_ROWS = 500_000
+# Bound for a broadcast of nothing but one whole-number id a row: about 160 MB.
+BROADCAST_IDS = 10_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

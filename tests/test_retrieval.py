@@ -293,3 +293,13 @@ def test_projection_prunes_and_does_not_shuffle_the_corpus(spark, sf):
     plan = plan_of(out)
     assert "BroadcastHashJoin" in plan and "text" not in plan.split("ReadSchema")[1]
     assert out.columns == ["qid", "rank", "chunk_id", "source_url"]
+
+
+def test_projection_of_many_hits(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, f"c{i}") for i in range(50)], "chunk_id long, chunk string")
+    many = spark.createDataFrame([(q, 1, (q * 7) % 20) for q in range(40)], "qid long, rank int, chunk_id long")
+    want = {(q, 1, (q * 7) % 20, f"c{(q * 7) % 20}") for q in range(40)}
+    for rows, ids in ((100, 100), (10, 100), (10, 5)):
+        monkeypatch.setattr(retrieval, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(retrieval, "BROADCAST_IDS", ids)
+        assert as_set(retrieval.search_projection(many, corpus, ["chunk"])) == want

@@ -106,6 +106,25 @@ def test_stream_keeps_its_place(spark, sf, tmp_path):
     assert both.select(*batch.columns).exceptAll(batch).count() == 0
 
 
+def test_stream_state_holds_the_history(spark, story, tmp_path):
+    folder, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    # two batches; the second one brings a reset and what follows it
+    for part in (story.filter("event_id < 6"), story.filter("event_id >= 6")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = channels.read_events(spark, folder, story.schema)
+        state = channels.run_to_end(channels.channel_state_stream(stream), "s", path=sink, state_partitions=2)
+    assert {r.event_id: (r.epoch, r.history_len) for r in state.collect()} == LENGTHS
+    held = channels.stored_history(spark, sink).orderBy("channel", "position").collect()
+    # questions are stored in lower case
+    assert [tuple(r) for r in held] == [(1, 0, "user", "t"), (1, 1, "assistant", "a3")]
+
+
+def test_failed_end_has_its_own_notice(spark, story):
+    failed = spark.createDataFrame([(9,)], "event_id long")
+    got = {r.event_id: r.notice for r in sessions.end_session(story, failed).collect()}
+    assert got == {9: sessions.NOT_ENDED, 11: sessions.ENDED}
+
+
 def test_running_totals_with_a_hot_key(spark):
     rng = random.Random(3)
     rows = [(0 if rng.random() < 0.5 else rng.randint(1, 9), rng.randint(0, 400), i) for i in range(1500)]

@@ -7,6 +7,7 @@ from checks import inputs as I
 from checks.compare import compare, duck
 from checks.registry import QUERIES
 from citeflow.operators import retrieval
+from citeflow.operators.prompts import REFUSAL
 from citeflow.plans import answering
 from citeflow.session import scratch_folder
 from citeflow.settings import Settings
@@ -76,3 +77,32 @@ def test_answer_stream_in_batches(spark, sf):
     assert {(r.turn, r.content) for r in told.filter("role = 'assistant'").collect()} == want
     assert told.select("batch_id").distinct().count() == 3
     assert pages.select("response_id").distinct().count() == len(want)
+
+
+def test_bot_answers_when_columns_or_texts_are_missing(spark):
+    questions = spark.createDataFrame([(1, " TERM "), (2, "nothing like it")], "qid long, question string")
+    corpus = spark.createDataFrame([(1, "term here. More."), (2, None)], "chunk_id long, chunk string")
+    both = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "qid long, rank int, chunk_id long")
+    rows = {r.qid: r for r in answering.answer_bot(questions, corpus, lambda q, k: both, Settings()).collect()}
+    assert rows[1].question == "term"
+    assert rows[1].context == (
+        "Context document 1: term here. More. [URL: Unknown Source]\n\n"
+        "Context document 2: Content not found - available keys: ['chunk'] [URL: Unknown Source]\n\n"
+    )
+    assert [tuple(c) for c in rows[1].citations] == [(1, "Unknown Title", "Unknown Source")]
+    assert rows[2].context == "" and rows[2].citations == [] and rows[2].response == REFUSAL
+
+
+def test_web_answers_without_url_column(spark, sf):
+    corpus = I.corpus(spark, sf).drop("source_url")
+    asked = I.web_questions(spark, sf)
+
+    def search(q, k):
+        return retrieval.keyword_search(corpus, q, k)
+
+    answered = answering.answer_web(asked, I.messages(spark, sf), corpus, search, search, Settings(num_chunks=2))
+    assert answered.filter("context like '%[URL: #]%'").count() == asked.count()
+    told = answering.web_transcript(asked, answered)
+    assert told.count() == 2 * asked.count()
+    raw = {(r.qid, r.question) for r in asked.collect()}
+    assert {(r.conv_id, r.content) for r in told.filter("role = 'user'").collect()} == raw
