@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from citeflow.functions.text import tokens
 from citeflow.operators.best_matches import OUTPUT, cell_scorer, term_scorer, vector_scorer
-from citeflow.session import written
+from citeflow.session import scratch_folder, written
 from citeflow.sizes import BROADCAST_IDS, BROADCAST_ROWS, broadcast_if_small
 
 SCORE = "decimal(18,9)"
@@ -28,6 +28,8 @@ SEMANTIC_BOOST = Decimal("1.2")
 # One broadcast of questions holds at most this many (question, term) entries or vector numbers;
 # larger question sets are answered in slices of that size, each exact.
 SLICE_ENTRIES = 2_000_000
+# Question sets whose distinct tokens are more than this are split before the corpus is tokenised.
+VOCABULARY = 2_000_000
 # A corpus in more files than this first scores a small share of its rows, see `_best_rows`.
 PRIME_FILES = 1_000
 PRIME_SHARE = 0.001
@@ -53,18 +55,17 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return top.select("qid", "rank", score.alias("score"), "chunk_id")
 
 
-def _slices(questions: DataFrame, entries: int) -> list[DataFrame]:
-    n = max(1, math.ceil(entries / SLICE_ENTRIES))
+def _slices(questions: DataFrame, entries: int, limit: int) -> list[DataFrame]:
+    n = max(1, math.ceil(entries / limit))
     if n == 1:
         return [questions]
     part = F.pmod(F.xxhash64("qid"), F.lit(n))
     return [questions.filter(part == i) for i in range(n)]
 
 
-def _best_of(spark, parts: list[DataFrame | None], k: int) -> DataFrame:
+def _best_of(spark, parts: list[DataFrame], k: int) -> DataFrame:
     """Final ranking over the slices that had something to score."""
-    scored = [p for p in parts if p is not None]
-    return _ranked(reduce(DataFrame.unionByName, scored), k) if scored else _no_hits(spark)
+    return _ranked(reduce(DataFrame.unionByName, parts), k) if parts else _no_hits(spark)
 
 
 def _best_rows(held: DataFrame, scorer, state: tuple, qids: np.ndarray, k: int) -> DataFrame:
@@ -139,8 +140,6 @@ def keyword_search_indexed(
 def _written_counts(counted: DataFrame) -> DataFrame:
     """Write the sparse counts and read them back as plain arrays, which Arrow can carry."""
     spark = counted.sparkSession
-    from citeflow.session import scratch_folder
-
     path = scratch_folder(spark, "counts")
     counted.write.parquet(path)
     vector = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
@@ -153,25 +152,33 @@ def _written_counts(counted: DataFrame) -> DataFrame:
     )
 
 
+def _entries(asked: DataFrame) -> int:
+    return asked.agg(F.sum(F.size("tokens"))).first()[0] or 0
+
+
 def _keyword(questions, features, size, k, k1, b) -> DataFrame:
     asked = questions.select("qid", F.array_distinct(tokens(F.col("question"))).alias("tokens"))
-    entries = asked.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    if entries == 0:
-        return _no_hits(questions.sparkSession)
-    parts = [_keyword_slice(q, features, size, k, k1, b) for q in _slices(asked, entries)]
+    entries = _entries(asked)
+    if entries <= VOCABULARY:
+        parts = _keyword_group(asked, entries, features, size, k, k1, b)
+    else:
+        distinct = asked.select(F.explode("tokens")).distinct().count()
+        parts = [
+            part
+            for group in _slices(asked, distinct, VOCABULARY)
+            for part in _keyword_group(group, _entries(group), features, size, k, k1, b)
+        ]
     return _best_of(questions.sparkSession, parts, k)
 
 
-def _keyword_slice(asked, features, size, k, k1, b) -> DataFrame | None:
-    spark = asked.sparkSession
-    entries = asked.agg(F.sum(F.size("tokens"))).first()[0] or 0
+def _keyword_group(asked, entries, features, size, k, k1, b) -> list[DataFrame]:
+    """One pass over the corpus for the vocabulary of ``asked``, then its questions in slices."""
     if entries == 0:
-        return None
-    # as large as the slice has tokens, so no term is left out
+        return []
+    # as large as there are tokens, so no term is left out
     model = CountVectorizer(
-        inputCol="tokens", outputCol="terms", vocabSize=entries, minDF=1.0
+        inputCol="tokens", outputCol="terms", vocabSize=min(entries, 2**31 - 1), minDF=1.0
     ).fit(asked)
-    vocabulary = len(model.vocabulary)
     counts = features(model)
 
     # one pass over the compact rows: document frequency per term, and under -1 the corpus size
@@ -187,20 +194,25 @@ def _keyword_slice(asked, features, size, k, k1, b) -> DataFrame | None:
         size = (0, 0) if totals.empty else tuple(totals.loc[-1, ["df", "total"]])
     n_docs, total_length = int(size[0]), int(size[1])
     if total_length == 0:
-        return None
-    df = np.zeros(vocabulary)
+        return []
+    df = np.zeros(len(model.vocabulary))
     known = totals[totals.index >= 0]
     df[known.index.to_numpy()] = known["df"].to_numpy()
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    held = counts.filter(F.size("term_ids") > 0).select(
+        "chunk_id", "length", "term_ids", "term_counts"
+    )
 
-    rows = model.transform(asked).select("qid", "terms").toPandas()
-    offsets = np.concatenate([[0], np.cumsum([len(t.indices) for t in rows["terms"]])])
-    qids = rows["qid"].to_numpy(dtype=np.int64)
-    terms = np.concatenate([t.indices for t in rows["terms"]])
-    state = (qids, offsets.astype(np.int64), terms, idf, total_length / n_docs, k, k1, b)
-    matching = counts.filter(F.size("term_ids") > 0)
-    held = matching.select("chunk_id", "length", "term_ids", "term_counts")
-    return _best_rows(held, term_scorer, state, qids, k)
+    parts = []
+    for part in _slices(model.transform(asked).select("qid", "terms"), entries, SLICE_ENTRIES):
+        rows = part.toPandas()
+        if len(rows):
+            qids = rows["qid"].to_numpy(dtype=np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(t.indices) for t in rows["terms"]])])
+            terms = np.concatenate([t.indices for t in rows["terms"]])
+            state = (qids, offsets.astype(np.int64), terms, idf, total_length / n_docs, k, k1, b)
+            parts.append(_best_rows(held, term_scorer, state, qids, k))
+    return parts
 
 
 # --- semantic leg ----------------------------------------------------------------------------
@@ -252,7 +264,7 @@ def _semantic(corpus_vectors, question_vectors, k, vector, scorer, state) -> Dat
         return _no_hits(asked.sparkSession)
     held = corpus_vectors.filter(F.col(vector).isNotNull()).select("chunk_id", vector)
     parts = []
-    for part in _slices(asked, n * dim):
+    for part in _slices(asked, n * dim, SLICE_ENTRIES):
         rows = part.toPandas()
         if len(rows):
             qids = rows["qid"].to_numpy(dtype=np.int64)

@@ -78,6 +78,8 @@ def test_keyword_in_slices_and_small_blocks(small, monkeypatch):
     monkeypatch.setattr(best_matches, "BLOCK_CELLS", 50)
     monkeypatch.setattr(best_matches, "PENDING_ROWS", 10)
     assert as_set(retrieval.keyword_search(corpus, questions, 4)) == bm25(rows, QUESTIONS, 4)
+    monkeypatch.setattr(retrieval, "VOCABULARY", 10)
+    assert as_set(retrieval.keyword_search(corpus, questions, 4)) == bm25(rows, QUESTIONS, 4)
 
 
 def test_floors_from_a_few_rows_change_nothing(small, vector_frames, monkeypatch):
