@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from citeflow.llm.bpe import op7
 from citeflow.llm.jaccard_join import op8
 from citeflow.llm.line_dedup import op2
+from citeflow.llm.mixing import op1
 from citeflow.llm.quality import op5
 from citeflow.llm.syncmers import op6
 
 QUERIES = {
+    "op1_mixing": op1,
     "op2_line_dedup": op2,
     "op5_quality_rules": op5,
     "op6_fingerprints": op6,
+    "op7_bpe": op7,
     "op8_jaccard_join": op8,
 }
 
