@@ -98,31 +98,30 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     their own ids. Nulls, repeated rows and extra columns are carried along. No rows give no rows.
     """
     path = path or default_path()
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    frame = docs.select(*kept, text_or_empty().alias("_text"))
-    schema = frame.drop("_text").schema.add("ids", "array<int>").add("decoded", "string")
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    # The columns travel as one struct, whatever they are called.
+    frame = docs.select(F.struct(*kept).alias("row"), text_or_empty().alias("text"))
+    schema = frame.drop("text").schema.add("ids", "array<int>").add("decoded", "string")
 
     def per_batch(batches):
         encode = splitter(path).text
         for batch in batches:
             lists, texts = [], []
-            for text in batch.column(len(kept)).to_pylist():
+            for text in batch.column(1).to_pylist():
                 ids, shown = encode(text)
                 lists.append(np.array(ids, np.int32))
                 texts.append(shown)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(texts, pa.string())],
-                names=[*kept, "ids", "decoded"],
-            )
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=schema.names)
 
-    return frame.mapInArrow(per_batch, schema)
+    return frame.mapInArrow(per_batch, schema).select("row.*", "ids", "decoded")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = encoded(docs.select("doc_id", text_or_empty().alias("text"))).drop("text")
+    found = encoded(docs)
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

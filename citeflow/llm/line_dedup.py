@@ -126,8 +126,8 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with only one line of every class of similar lines in the whole corpus, and ``_n_lines``
-    and ``_n_dropped``. Of a class stays the line of the least doc_id (null last), ties by the row's key,
+    """``row`` (a struct of the columns of ``docs``, which keeps any names apart), ``text`` with only one
+    line of every class of similar lines in the whole corpus, ``n_lines`` and ``n_dropped``. Of a class stays the line of the least doc_id (null last), ties by the row's key,
     then the earliest in the text. All rows stay, in their columns and order of lines; a text may become
     empty.
 
@@ -155,7 +155,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lost = lost.groupBy("at._ka", "at._kb").agg(F.sort_array(F.collect_set("at.pos")).alias("_lost"))
     lost = scratch.write(lost, "lost")
     scratch.drop("placed", "classes")
-    rows = docs.select("*", *row_key()).join(lost, ["_ka", "_kb"], "left")
+    rows = docs.select(F.struct("*").alias("row"), *row_key(), "text").join(lost, ["_ka", "_kb"], "left")
     split = F.split("text", "\n", -1)
 
     def without(kept_lines: Column, gone: Column) -> Column:
@@ -172,11 +172,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     left = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(
         let(split, lambda s: let(F.col("_lost"), lambda g: without(s, g)))
     )
-    counted = rows.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"))
-    counted = counted.withColumn("_n_dropped", F.coalesce(F.size("_lost"), F.lit(0)).cast("long")).withColumn("text", left)
-    return counted.select(*docs.columns, "_n_lines", "_n_dropped")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+    n_dropped = F.coalesce(F.size("_lost"), F.lit(0)).cast("long")
+    return rows.select("row", left.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with the shortened texts."""
+    found = dedup_lines(docs)
+    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return found.select("row.doc_id", "n_lines", "n_dropped", "text")

@@ -19,11 +19,11 @@ STEPS, PRECISION = 80, 1e-9
 
 
 def sizes(docs: DataFrame, source: str = "source") -> DataFrame:
-    """``docs`` with the words of each text (null: 0), a key for its source (null is a source of its own)
-    and the order in which equally long documents of a source are taken."""
+    """The rows of ``docs`` (``_row``) with the words of their texts (null: 0), a key for the source (null is a
+    source of its own) and the order in which equally long documents of a source are taken."""
     key = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select("*", *row_key()).withColumn("_size", count).withColumn("_source", key)
+    rows = docs.select(F.struct("*").alias("_row"), *row_key(), count.alias("_size"), key.alias("_source"))
     rows = rows.withColumn("_order", F.xxhash64(F.lit("mix"), "_ka", "_kb"))
     return rows.withColumn("_salt", F.pmod(F.col("_order"), F.lit(SALTS)).cast("int"))
 
@@ -136,12 +136,12 @@ def _whole_copies(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def with_copies(docs: DataFrame, source: str = "source", weights: Sequence[int] = WEIGHTS) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies`` (0 to 3).
+    """``row`` (a struct of the columns of ``docs``, which keeps any names apart), ``size``, ``source_size``,
+    ``target`` and ``copies`` (0 to 3) of every row.
 
     Defined cases: a null or blank text has size 0 and is taken once; it moves no target. A null source is a
     source, the last. Rows with one doc_id, and equal rows, are separate documents. With no words at all every target
-    is 0. No rows give no rows. Extra columns are carried along; none may start with an underscore.
-    Reruns give the same copies.
+    is 0. No rows give no rows. Extra columns are carried along. Reruns give the same copies.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = sizes(docs, source)
@@ -160,21 +160,17 @@ def with_copies(docs: DataFrame, source: str = "source", weights: Sequence[int]
     scratch.drop("parts", "cells", "rates", "sources", "weights", "targets")
     place = F.row_number().over(W.partitionBy("_source", "_size", "_salt").orderBy("_order", "_ka", "_kb"))
     taken = rows.join(plan, ["_source", "_size", "_salt"]).withColumn("_place", place)
-    return taken.select(
-        *docs.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-        (F.col("base") + (F.col("_place") <= F.col("left")).cast("int")).alias("_copies"),
-    )
+    copies = F.col("base") + (F.col("_place") <= F.col("left")).cast("int")
+    return taken.select(F.col("_row").alias("row"), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
-    taken = with_copies(docs).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = with_copies(docs).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return with_copies(docs).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"),
-    )
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return with_copies(docs).select("row.doc_id", "size", "source_size", "target", taken, "copies")

@@ -217,9 +217,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that `verdicts` keeps, with their columns as they are. The counts are made
     twice, once for the model and once to filter, so that no text is shuffled."""
-    featured = with_features(docs.select("*")).withColumn("_votes", votes())
+    featured = with_features(docs.select(F.struct("*").alias("row"), "text")).withColumn("_votes", votes())
     model = fit(featured.groupBy("_votes").agg(F.count("*").alias("_n")))
-    return _judged(featured, model).where("_kept").select(*docs.columns)
+    return _judged(featured, model).where("_kept").select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

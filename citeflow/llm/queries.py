@@ -5,17 +5,26 @@ from __future__ import annotations
 from citeflow.llm.bpe import op7
 from citeflow.llm.jaccard_join import op8
 from citeflow.llm.line_dedup import op2
+from citeflow.llm.masked_lm import op4
 from citeflow.llm.mixing import op1
 from citeflow.llm.quality import op5
+from citeflow.llm.secrets import op3
 from citeflow.llm.syncmers import op6
+from citeflow.llm.token_counts import op9
+from citeflow.llm.warc_zip import SQL as WARC_SQL
+from citeflow.llm.warc_zip import op10
 
 QUERIES = {
     "op1_mixing": op1,
     "op2_line_dedup": op2,
+    "op3_secret_scan": op3,
+    "op4_lm_scoring": op4,
     "op5_quality_rules": op5,
     "op6_fingerprints": op6,
     "op7_bpe": op7,
     "op8_jaccard_join": op8,
+    "op9_token_counts": op9,
+    "op10_warc": op10,
 }
 
 JACCARD_SQL = r"""
@@ -44,4 +53,4 @@ SELECT d.doc_id, CAST(coalesce(max(n.k), 0) AS BIGINT) AS n_shingles, min(r.othe
 FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE_SQL = {"op8_jaccard_join": JACCARD_SQL}
+ORACLE_SQL = {"op8_jaccard_join": JACCARD_SQL, "op10_warc": WARC_SQL}
