@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citeflow.llm.bpe import encoded
 from citeflow.llm.jaccard_join import keep_one
-from citeflow.llm.line_dedup import dedup_lines
+from citeflow.llm.line_dedup import deduplicated
 from citeflow.llm.mixing import mixed_rows
 from citeflow.llm.quality import keep_good
 from citeflow.llm.tables import Scratch
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each class of similar lines in one place of the corpus only."""
-    return dedup_lines(docs).select(*docs.columns)
+    return deduplicated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
