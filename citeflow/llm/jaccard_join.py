@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ SHINGLE = 5
 PERCENT = 80
 # A shingle counts as frequent from so many prefixes on. The list of frequent shingles is broadcast:
 # at most HEAVY_LIST of the most frequent ones, 8 bytes each.
-HEAVY_FROM, HEAVY_LIST = 128, 2_000_000
+HEAVY_FROM, HEAVY_LIST = 4, 2_000_000
 # Bytes of text hashed at once in a task.
 SLICE_BYTES = 1 << 21
 FANOUT = 8
@@ -220,10 +219,10 @@ class SignatureTree:
     """Documents in leaves, nodes of ``FANOUT`` above them: OR of the bitmaps, range of sizes, the most
     shingles that share a bit in one document, and the components below."""
 
-    def __init__(self, masks: np.ndarray, sizes: np.ndarray, roots: np.ndarray):
+    def __init__(self, masks: np.ndarray, sizes: np.ndarray, roots: np.ndarray, leaves_only: bool = False):
         crowded = sizes - np.bitwise_count(masks).sum(axis=1, dtype=np.int64)
         self.levels = [(masks, sizes, sizes, crowded, roots, roots)]
-        while len(self.levels[-1][1]) > 1:
+        while not leaves_only and len(self.levels[-1][1]) > 1:
             m, low, high, most, r0, r1 = self.levels[-1]
             cut = np.arange(0, len(low), FANOUT)
             self.levels.append((
@@ -231,6 +230,11 @@ class SignatureTree:
                 np.maximum.reduceat(most, cut), np.minimum.reduceat(r0, cut), np.maximum.reduceat(r1, cut),
             ))
 
+    @classmethod
+    def leaves(cls, masks: np.ndarray, sizes: np.ndarray, roots: np.ndarray) -> SignatureTree:
+        """Without nodes above, for groups that fit a leaf."""
+        return cls(masks, sizes, roots, leaves_only=True)
+
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of documents that may link and are not in one component; a walk of the tree against itself."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -266,20 +270,87 @@ class SignatureTree:
         return keep
 
 
-def _candidates(group: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of the documents of one group; of the two size bands in it, the upper one is
-    compared within itself in its own group."""
-    group = group.sort_values(["root", "n", "row"], kind="stable")
-    size = min(map(len, group["mask"]))
-    masks = np.stack([_folded(m, size) for m in group["mask"]]).view(np.uint64)
-    rows, own = group["row"].to_numpy(np.int64), (group["band"] == group["part"]).to_numpy()
-    tree = SignatureTree(masks, group["n"].to_numpy(np.int64), group["root"].to_numpy(np.int64))
-    out = []
-    for a, b in tree.pairs():
-        use = own[a] | own[b]
-        out.append(np.stack([np.minimum(rows[a], rows[b])[use], np.maximum(rows[a], rows[b])[use]], axis=1))
-    found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-    return pd.DataFrame(found, columns=["a", "b"])
+class _Group:
+    """Rows of one group, or of many groups in a row, as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.h, self.part, self.row, self.n, self.root, self.band = (
+            table.column(c).to_numpy() for c in ("h", "part", "row", "n", "root", "band")
+        )
+        self.own = self.band == self.part
+        self.masks = table.column("mask").to_pylist()
+
+    def tree_pairs(self, a: int, b: int) -> np.ndarray:
+        """Candidates among the rows from a to b, by a signature tree. Rows come ordered by component and size."""
+        size = min(map(len, self.masks[a:b]))
+        masks = np.stack([_folded(m, size) for m in self.masks[a:b]]).view(np.uint64)
+        tree = SignatureTree(masks, self.n[a:b], self.root[a:b])
+        found = [np.stack([x, y], axis=1) for x, y in tree.pairs()]
+        return a + np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+    def leaf_pairs(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Candidates within many groups that fit a leaf each, tested side by side."""
+        left, right = [], []
+        for i in range(FANOUT):
+            for j in range(i + 1, FANOUT):
+                fits = begin + j < end
+                left.append(begin[fits] + i)
+                right.append(begin[fits] + j)
+        x, y = np.concatenate(left), np.concatenate(right)
+        keep = (self.root[x] != self.root[y]) & (100 * self.n[x] >= PERCENT * self.n[y]) & (100 * self.n[y] >= PERCENT * self.n[x])
+        x, y = x[keep], y[keep]
+        width = np.array([len(m) for m in self.masks], np.int64)
+        out = []
+        for size in np.unique(np.minimum(width[x], width[y])):
+            at = np.flatnonzero(np.minimum(width[x], width[y]) == size)
+            for cut in range(0, len(at), max(1, (1 << 22) // size)):
+                part = at[cut : cut + max(1, (1 << 22) // size)]
+                used, place = np.unique(np.concatenate([x[part], y[part]]), return_inverse=True)
+                masks = np.stack([_folded(self.masks[k], size) for k in used]).view(np.uint64)
+                tree = SignatureTree.leaves(masks, self.n[used], self.root[used])
+                ok = tree._may_link(0, place[: len(part)], place[len(part) :])
+                out.append(np.stack([x[part][ok], y[part][ok]], axis=1))
+        return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+    def candidates(self) -> np.ndarray:
+        """Pairs of row numbers. Of the two size bands in a group, the upper one is compared within itself in its own
+        group."""
+        new = np.flatnonzero((np.diff(self.h) != 0) | (np.diff(self.part) != 0)) + 1
+        begin, end = np.concatenate([[0], new]), np.concatenate([new, [len(self.h)]])
+        small = end - begin <= FANOUT
+        pairs = [self.leaf_pairs(begin[small], end[small])] if small.any() else []
+        pairs += [self.tree_pairs(a, b) for a, b in zip(begin[~small], end[~small], strict=True)]
+        found = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+        found = found[self.own[found[:, 0]] | self.own[found[:, 1]]]
+        ends = self.row[found]
+        return np.unique(np.sort(ends, axis=1), axis=0)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of the groups that follow each other in a partition. A group that goes on in the next batch
+    waits for its end."""
+
+    def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = _Group(table).candidates()
+        for at in range(0, len(found), 100_000):
+            part = found[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        h, part = batch.column("h").to_numpy(), batch.column("part").to_numpy()
+        last = np.flatnonzero((h != h[-1]) | (part != part[-1]))
+        start = last[-1] + 1 if len(last) else 0
+        if held and (start or (held[-1].column("h")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (h[0], part[0])):
+            yield from pairs_of(pa.Table.from_batches([*held, batch.slice(0, start)]))
+            held = []
+        elif start:
+            yield from pairs_of(pa.Table.from_batches([batch.slice(0, start)]))
+        held.append(batch.slice(start))
+    if held:
+        yield from pairs_of(pa.Table.from_batches(held))
 
 
 # ---- the join -------------------------------------------------------------------------------------
@@ -370,7 +441,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
         .withColumn("band", band)
         .withColumn("part", F.explode(F.array(F.col("band") - 1, F.col("band"))))
     )
-    walked = open_rows.groupBy("h", "part").applyInPandas(_candidates, "a long, b long").distinct()
+    grouped = open_rows.select("h", "part", "band", "root", "n", "row", "mask").repartition("h", "part")
+    walked = grouped.sortWithinPartitions("h", "part", "root", "n", "row").mapInArrow(_walk, "a long, b long").distinct()
     second = scratch.write(
         walked.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"),
         "second",
