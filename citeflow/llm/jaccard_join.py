@@ -153,7 +153,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
+def _frequent(docs: DataFrame, scratch: Scratch) -> np.ndarray:
     """The shingles that most prefixes share, counted over all documents."""
 
     def prefixes(batches):
@@ -176,7 +176,9 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
     counts = docs.select("text").mapInArrow(gathered, "h long").groupBy("h").count()
     top = counts.where(F.col("count") >= HEAVY_FROM).orderBy(F.desc("count"), "h").limit(HEAVY_LIST)
-    return np.sort(top.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    found = scratch.write(top.select("h"), "frequent").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    scratch.drop("frequent")
+    return np.sort(found)
 
 
 SIGNATURES = "doc_id long, _ka long, _kb long, n long, s1 long, s2 long, mask binary, prefix array<long>"
@@ -356,30 +358,29 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the join -------------------------------------------------------------------------------------
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(row, found)``: the shingle sets of the wanted rows ``(row, _ka, _kb)``."""
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough, compared in full. What is shuffled are texts, which pack
+    far better than sets of hashes."""
+    ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    wanted = rows.select("row", "_ka", "_kb").join(ends, "row")
+    # Equal rows of the documents are one here.
+    again = F.row_number().over(W.partitionBy("_ka", "_kb").orderBy("_ka"))
+    found = docs.select(*row_key(), "text").join(wanted, ["_ka", "_kb"]).withColumn("again", again)
+    texts = scratch.write(found.where("again = 1").select("row", "text"), f"{name}-texts")
 
     def per_batch(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _lists(list(shingle_sets(batch.column(1))))], names=["row", "found"]
-            )
-
-    texts = docs.select(*row_key(), "text").join(wanted, ["_ka", "_kb"]).select("row", "text")
-    return texts.mapInArrow(per_batch, "row long, found array<long>").dropDuplicates(["row"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough, compared in full."""
-    ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = scratch.write(_sets(docs, rows.select("row", "_ka", "_kb").join(ends, "row")), f"{name}-sets")
-    left = sets.select(F.col("row").alias("a"), F.col("found").alias("fa"))
-    right = sets.select(F.col("row").alias("b"), F.col("found").alias("fb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("fa", "fb"))
-    linked = (100 + PERCENT) * common >= PERCENT * (F.size("fa") + F.size("fb"))
-    out = scratch.write(both.where(linked).select("a", "b"), name)
-    scratch.drop(f"{name}-sets")
+            keep = []
+            for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append((100 + PERCENT) * common >= PERCENT * (len(x) + len(y)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    out = scratch.write(both.mapInArrow(per_batch, "a long, b long"), name)
+    scratch.drop(f"{name}-texts")
     return out
 
 
@@ -400,7 +401,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = signatures(docs, _frequent(docs)).withColumn("row", F.monotonically_increasing_id())
+    made = signatures(docs, _frequent(docs, scratch)).withColumn("row", F.monotonically_increasing_id())
     # Written once: the row numbers are fixed from here on.
     rows = scratch.write(made, "signatures")
     name = ["n", "s1", "s2"]
@@ -468,9 +469,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = _grouped(docs).withColumn("_blank", F.col("n_shingles") == 0)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_ka", "_kb", "_blank")
     kept = found.groupBy("root").agg(F.min(order).alias("k")).select("k._ka", "k._kb", "k._blank").distinct()
-    staying = docs.select("*", *row_key()).join(kept, ["_ka", "_kb"])
+    staying = docs.select(F.struct("*").alias("row"), *row_key()).join(kept, ["_ka", "_kb"])
     again = F.row_number().over(W.partitionBy("_ka", "_kb").orderBy("_ka"))
-    return staying.withColumn("_again", again).where("_blank OR _again = 1").select(*docs.columns)
+    return staying.withColumn("_again", again).where("_blank OR _again = 1").select("row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
