@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeflow.llm.pretokens import END, Vocabulary, default_path, vocabulary
 from citeflow.llm.tables import text_or_empty
@@ -101,7 +102,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
     # The columns travel as one struct, whatever they are called.
     frame = docs.select(F.struct(*kept).alias("row"), text_or_empty().alias("text"))
-    schema = frame.drop("text").schema.add("ids", "array<int>").add("decoded", "string")
+    schema = frame.drop("text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def per_batch(batches):
         encode = splitter(path).text

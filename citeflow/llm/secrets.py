@@ -66,7 +66,7 @@ def candidates(docs: DataFrame, owner: str = "source", repository: tuple[str, ..
         text_or_empty().alias("text"),
     )
     schema = keys.drop("text").schema
-    for name, kind in (("kind", "int"), ("start", "int"), ("end", "int"), ("value", "binary"), ("live", "boolean")):
+    for name, kind in (("kind", "integer"), ("start", "integer"), ("end", "integer"), ("value", "binary"), ("live", "boolean")):
         schema = schema.add(name, kind)
 
     def per_batch(batches):

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeflow.llm.pretokens import END, Vocabulary, default_path, vocabulary
 from citeflow.llm.tables import text_or_empty
@@ -208,7 +209,8 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     tokens up to there; what a packing step needs to cut anywhere between words without the text."""
     path = path or default_path()
     frame = docs.select("doc_id", text_or_empty().alias("_text"))
-    schema = frame.drop("_text").schema.add("word_ends", "array<int>").add("counts", "array<int>")
+    numbers = T.ArrayType(T.IntegerType())
+    schema = frame.drop("_text").schema.add("word_ends", numbers).add("counts", numbers)
 
     def per_batch(batches):
         counter = prefix_counter(path)
