@@ -121,17 +121,26 @@ def rates(cells: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _whole_copies(group: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies for one source's sizes, the longest first; what rounding leaves is carried on to the shorter
-    ones. A source has at most as many rows here as different sizes of documents."""
+    """Whole copies for one source's sizes, the longest first; what rounding leaves is made up by the shorter ones, so
+    a size is rounded up or down as far as these can follow. A source has at most as many rows here as different
+    sizes of documents."""
     group = group.sort_values("_size", ascending=False)
+    words = (group["n"] * group["_size"]).to_numpy(float)
+    planned = words * group["rate"].to_numpy(float)
+    after = planned[::-1].cumsum()[::-1] - planned  # planned for the shorter ones
+    room = MAX_RATE * (words[::-1].cumsum()[::-1] - words) - after
     carry, base, extra = 0.0, [], []
-    for size, n, rate in zip(group["_size"], group["n"], group["rate"], strict=True):
-        sure = min(MAX_RATE, math.floor(rate))
-        open_words = n * size * (rate - sure) + carry
-        more = min(n, max(0, math.floor(open_words / size + 0.5))) if size and sure < MAX_RATE else 0
-        carry = open_words - more * size
-        base.append(sure)
-        extra.append(more)
+    for size, n, plan, give, take in zip(group["_size"], group["n"], planned, after, room, strict=True):
+        if not size:
+            base.append(1)
+            extra.append(0)
+            continue
+        wanted = (plan + carry) / size
+        least, most = math.ceil(wanted - take / size - 1e-9), math.floor(wanted + give / size + 1e-9)
+        copies = min(MAX_RATE * n, max(0, most if most < least else min(most, max(least, math.floor(wanted + 0.5)))))
+        carry += plan - copies * size
+        base.append(copies // n)
+        extra.append(copies % n)
     return group.assign(base=base, extra=extra)[["_source", "_size", "base", "extra"]]
 
 
