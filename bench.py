@@ -19,7 +19,7 @@ HEADLINE = (
     "corpus_from_pages", "log_tail", "log_tail_by_source", "dedupe_by_text", "top_k_per_query",
     "history_render", "query_route", "list_spacing", "citation_symbols", "block_segment",
     "fallback_text", "channel_history_state", "channel_history_state_batch", "deletion_plan",
-    "answer_web", "answer_bot", "answer_bot_pages",
+    "answer_web", "answer_bot", "answer_bot_pages", "keyword_search_indexed", "answer_stream",
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.sizes import spread_if_small
+from citeflow.sizes import spread
 
 # Tables of long texts, with the key they are dealt out by when they lie in one small file.
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
@@ -13,7 +13,7 @@ TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread_if_small(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def corpus(spark, sf) -> DataFrame:
@@ -64,14 +64,6 @@ def web_questions(spark, sf) -> DataFrame:
     return newest.select(F.col("conv_id").alias("qid"), "question", "turn")
 
 
-def web_question_vectors(spark, sf) -> DataFrame:
-    asked = table(spark, sf, "conversations").select(F.col("conv_id").alias("qid")).distinct()
-    vectors = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")
-    )
-    return asked.join(vectors, "qid")
-
-
 def channel_events(spark, sf) -> DataFrame:
     return as_channel_events(table(spark, sf, "events"))
 
@@ -120,7 +112,7 @@ LONG_PARAGRAPHS = 120
 
 
 def responses(spark, sf) -> DataFrame:
-    """One marked-up answer per assistant row; see ``RESPONSE_SQL`` for the same text in SQL."""
+    """One marked-up answer per assistant row."""
     n = "\n"
     rows = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
     rid = F.col("conv_id") * 10 + F.col("turn")

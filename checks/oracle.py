@@ -130,6 +130,39 @@ def semantic(k: int, qvectors: tuple[str, str] = QVECTORS) -> list[tuple[str, st
     ]
 
 
+def dimension(token: str) -> str:
+    digits = " + ".join(
+        f"{16 ** (4 - i)} * (strpos('0123456789abcdef', substr(md5({token}), {i}, 1)) - 1)" for i in range(1, 5)
+    )
+    return f"(({digits}) % 512)"
+
+
+# Weights of the dimensions that a text touches: counts by inverse document frequency, to unit length.
+EMBEDDED = [
+    ("ed", f"SELECT chunk_id, {dimension('token')} AS dim, count(*) AS tf FROM "
+     f"(SELECT chunk_id, unnest({tokens('chunk')}) AS token FROM corpus) GROUP BY ALL"),
+    ("ei", "SELECT dim, ln(((SELECT count(*) FROM corpus) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM ed GROUP BY dim"),
+    ("en", "SELECT chunk_id, sqrt(sum((tf * idf) ** 2)) AS norm FROM ed JOIN ei USING (dim) GROUP BY chunk_id"),
+    ("ev", "SELECT chunk_id, dim, tf * idf / norm AS w FROM ed JOIN ei USING (dim) JOIN en USING (chunk_id) WHERE norm > 0"),
+]
+
+
+def semantic_text(k: int, questions: str = "questions", text: str = "question") -> list[tuple[str, str]]:
+    idf = "coalesce(idf, ln((SELECT count(*) FROM corpus) + 1.0e0))"
+    return [
+        *EMBEDDED,
+        ("qd", f"SELECT qid, {dimension('token')} AS dim, count(*) AS tf FROM "
+         f"(SELECT qid, unnest({tokens(text)}) AS token FROM {questions}) GROUP BY ALL"),
+        ("qi", f"SELECT qid, dim, tf * {idf} AS x FROM qd LEFT JOIN ei USING (dim)"),
+        ("qn", "SELECT qid, sqrt(sum(x ** 2)) AS norm FROM qi GROUP BY qid"),
+        ("qw", "SELECT qid, dim, x / norm AS w FROM qi JOIN qn USING (qid) WHERE norm > 0"),
+        ("dots", "SELECT qid, chunk_id, sum(ev.w * qw.w) AS s FROM ev JOIN qw USING (dim) GROUP BY ALL"),
+        ("ts", f"SELECT q.qid, c.chunk_id, CAST(coalesce(s, 0) AS DECIMAL(18,9)) AS s FROM {questions} q CROSS JOIN corpus c "
+         "LEFT JOIN dots ON dots.qid = q.qid AND dots.chunk_id = c.chunk_id"),
+        ("sem", ranked("ts", k)),
+    ]
+
+
 KW = [CORPUS, QUESTIONS, *keyword(K)]
 SEM = [CORPUS, *semantic(K)]
 BOTH = [CORPUS, QUESTIONS, *keyword(K), *semantic(K)]
@@ -452,20 +485,20 @@ CLEAR = (
 END = f"SELECT channel, event_id, known, {lit(sessions.ENDED)} AS notice FROM state WHERE kind = 'end'"
 
 
-def deletions(credential: str, channels: str) -> str:
-    return (
-        "SELECT channel, event_id, ((row_number() OVER (PARTITION BY channel ORDER BY ts DESC, event_id DESC) - 1) // 100)"
-        f"::INTEGER AS page_no, {credential} AS credential FROM ev WHERE kind = 'message' AND channel IN ({channels})"
-    )
+# Each message with the first end event of its channel after it, found by looking at the ends themselves.
+DELETED = (
+    "SELECT m.channel, m.event_id, m.ts, m.bot_id, arg_min(e.event_id, (e.ts, e.event_id)) AS end_event_id "
+    "FROM ev m JOIN ev e ON e.channel = m.channel AND e.kind = 'end' AND (e.ts, e.event_id) > (m.ts, m.event_id) "
+    "WHERE m.kind = 'message' GROUP BY ALL"
+)
+
+
+def paged(keys: str) -> str:
+    return f"((row_number() OVER (PARTITION BY {keys} ORDER BY ts DESC, event_id DESC) - 1) // 100)::INTEGER AS page_no"
 
 
 # --- whole plans -----------------------------------------------------------------------------
 
-WEB_QVECTORS = (
-    "qv",
-    "SELECT conv_id AS qid, embedding::DOUBLE[] AS v FROM (SELECT DISTINCT conv_id FROM conversations) "
-    "JOIN embeddings ON vec_id = conv_id",
-)
 WEB = [
     *TOLD,
     (
@@ -475,7 +508,7 @@ WEB = [
     ),
     CORPUS,
     *keyword(K, "routed", "search_query"),
-    *semantic(K, WEB_QVECTORS),
+    *semantic_text(K, "routed", "search_query"),
     *first_seen(K),
     ("shown", "SELECT merged.*, source_url FROM merged JOIN corpus USING (chunk_id)"),
     ("ctx", context("shown", strip("chunk"))),
@@ -505,6 +538,23 @@ BOT = [
         "LEFT JOIN cited_json USING (qid) LEFT JOIN answers USING (qid)",
     ),
 ]
+BOT_DEFAULT = [
+    CORPUS,
+    ("questions", f"SELECT item_id AS qid, {strip('lower(text)')} AS question FROM benchmark"),
+    *semantic_text(K),
+    ("kw", "SELECT * FROM sem"),
+    FOUND,
+    CITED,
+    CITED_JSON,
+    ("ctx", context("found", "chunk")),
+    ("answers", extractive("found")),
+    (
+        "told",
+        "SELECT qid, question, coalesce(context, '') AS context, coalesce(citations, '[]') AS citations, "
+        f"coalesce(response, {lit(prompts.REFUSAL)}) AS response FROM questions LEFT JOIN ctx USING (qid) "
+        "LEFT JOIN cited_json USING (qid) LEFT JOIN answers USING (qid)",
+    ),
+]
 
 LINES = (
     "lines",
@@ -703,10 +753,24 @@ ORACLE_SQL = {
     ),
     "active_channels": query("SELECT DISTINCT channel FROM ev WHERE accepted", EVENTS),
     "deletion_plan": query(
-        deletions("CASE WHEN bot_id IS NULL THEN 'user' ELSE 'bot' END", "SELECT channel FROM ev WHERE kind = 'end'"),
+        f"SELECT channel, end_event_id, event_id, {paged('end_event_id')}, "
+        "CASE WHEN bot_id IS NULL THEN 'user' ELSE 'bot' END AS credential FROM gone",
         EVENTS,
+        ("gone", DELETED),
+    ),
+    "purge_all": query(
+        f"SELECT channel, event_id, {paged('channel')}, 'bot' AS credential FROM ev WHERE kind = 'message' "
+        "AND channel IN (SELECT channel FROM ev WHERE accepted) AND event_id NOT IN (SELECT event_id FROM gone)",
+        EVENTS,
+        ("gone", DELETED),
+    ),
+    "purge_resets": query(
+        "SELECT channel, arg_max(history_len, rn) AS entries FROM (SELECT *, "
+        "(2 * sum((accepted AND answered)::INT) OVER (PARTITION BY channel, epoch ORDER BY ts, event_id))::BIGINT AS history_len "
+        "FROM state) GROUP BY channel HAVING arg_max(history_len, rn) > 0",
+        EVENTS,
+        STATE,
     ),
-    "purge_all": query(deletions("'bot'", "SELECT channel FROM ev WHERE accepted"), EVENTS),
     "answer_web": query(
         "SELECT qid, question, chat_history, search_query, coalesce(context, '') AS context, response, formatted, display "
         "FROM routed LEFT JOIN ctx USING (qid) JOIN responses ON responses.response_id = qid "
@@ -714,6 +778,29 @@ ORACLE_SQL = {
         *WEB,
     ),
     "answer_bot": query("SELECT *, response AS shown FROM told", *BOT),
+    "answer_bot_indexed": query("SELECT *, response AS shown FROM told", *BOT),
+    "answer_bot_fallback": query("SELECT *, response AS shown FROM told", *BOT),
+    "answer_bot_default": query("SELECT *, response AS shown FROM told", *BOT_DEFAULT),
+    "semantic_text_search": query(f"SELECT {HIT} FROM sem", CORPUS, QUESTIONS, *semantic_text(K)),
+    "semantic_search_ann": query(f"SELECT {HIT} FROM sem", *SEM),
+    "embed_text": query(
+        "SELECT chunk_id, dim::INTEGER AS dim, round(w, 6) AS weight FROM ev WHERE round(w, 6) <> 0",
+        CORPUS,
+        *EMBEDDED,
+    ),
+    "stored_history": query(
+        "SELECT channel, (2 * i + p)::INTEGER AS position, role, content FROM (SELECT channel, i, p, role, CASE p WHEN 0 THEN "
+        + strip("lower(text)")
+        + " ELSE 're: ' || props END AS content FROM held, (VALUES (0, 'user'), (1, 'assistant')) r(p, role))",
+        EVENTS,
+        STATE,
+        ("latest", "SELECT channel AS c, max(epoch) AS e FROM state GROUP BY channel"),
+        (
+            "held",
+            "SELECT state.channel, text, text AS props, row_number() OVER (PARTITION BY state.channel ORDER BY ts, event_id) - 1 AS i "
+            "FROM state JOIN latest ON c = channel AND e = epoch WHERE accepted AND answered",
+        ),
+    ),
     "answer_bot_pages": query(
         "SELECT response_id, page_no, fallback_text FROM pgs",
         *BOT,

@@ -10,7 +10,7 @@ from citeflow.functions import markup
 from citeflow.operators import completion, context, history, prompts, rendering, sessions
 from citeflow.operators import index as ix
 from citeflow.operators import retrieval as rt
-from citeflow.operators.embedding import embed_text, fit_embedder
+from citeflow.operators.embedding import embed_text, fit_embedder, text_search
 from citeflow.plans import answering
 from citeflow.session import scratch_folder, written
 from citeflow.settings import Settings
@@ -227,7 +227,14 @@ def corpus_stats(spark, sf):
 
 def embedding(spark, sf):
     corpus = I.corpus(spark, sf)
-    return embed_text(fit_embedder(corpus), corpus.select("chunk_id", "chunk"), "chunk").drop("chunk")
+    made = embed_text(fit_embedder(corpus), corpus.select("chunk_id", "chunk"), "chunk")
+    weights = made.select("chunk_id", F.posexplode("vector").alias("dim", "w"))
+    return weights.select("chunk_id", "dim", F.round("w", 6).alias("weight")).filter("weight <> 0")
+
+
+def semantic_text_search(spark, sf):
+    """Benchmark questions by the meaning of their texts, over all documents."""
+    return rounded(text_search(I.corpus(spark, sf), I.questions(spark, sf), K))
 
 
 def semantic_search_ann(spark, sf):
@@ -427,7 +434,19 @@ def format_failure_fallback(spark, sf):
 
 def event_stream(spark, sf):
     schema = I.table(spark, sf, "events").schema
-    return channels.read_events(spark, f"{sf}/events*.parquet", schema)
+    # A pattern that only the table itself matches: a stream takes no plain file.
+    return channels.read_events(spark, f"{sf}/event[s].parquet", schema)
+
+
+def event_files(spark, sf, parts=3):
+    """The events as several files in order of time, so that a stream of them takes several micro-batches."""
+    events = I.table(spark, sf, "events")
+    path = scratch_folder(spark, "events")
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / parts for i in range(1, parts)])).first()[0] or []
+    at = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.unix_micros(F.col("ts").cast("timestamp"))))
+    for i in range(len(cuts) + 1):
+        events.filter(at == i).coalesce(1).write.mode("append").parquet(path)
+    return channels.read_events(spark, path, events.schema, files_per_batch=1)
 
 
 def message_filter(spark, sf):
@@ -435,9 +454,16 @@ def message_filter(spark, sf):
     return channels.run_to_end(stream.select("channel", "event_id", "text"), "messages")
 
 
-def state_rows(spark, sf):
-    stream = channels.channel_state_stream(I.as_channel_events(event_stream(spark, sf)))
-    return channels.run_to_end(stream, "state")
+def state_rows(spark, sf, path=None):
+    stream = channels.channel_state_stream(I.as_channel_events(event_files(spark, sf)))
+    return channels.run_to_end(stream, "state", path)
+
+
+def stored_history(spark, sf):
+    """What each channel holds in the end, read from the stream's state."""
+    path = scratch_folder(spark, "state")
+    state_rows(spark, sf, path)
+    return channels.stored_history(spark, path)
 
 
 def channel_history_state(spark, sf):
@@ -482,31 +508,29 @@ def active_channels(spark, sf):
     return channels.run_to_end(stream, "active")
 
 
-def chat_messages(spark, sf):
-    return I.channel_events(spark, sf).filter("kind = 'message'")
-
-
 def deletion_plan(spark, sf):
-    ended = I.channel_events(spark, sf).filter("kind = 'end'")
-    return sessions.deletion_plan(chat_messages(spark, sf), ended)
+    return sessions.deletion_plan(I.channel_events(spark, sf))
 
 
 def purge_all(spark, sf):
-    active = sessions.active_channels(I.channel_events(spark, sf))
-    return sessions.purge_all(chat_messages(spark, sf), active)
+    return sessions.purge_all(I.channel_events(spark, sf))
+
+
+def purge_resets(spark, sf):
+    return sessions.purge_resets(I.channel_events(spark, sf))
 
 
 # --- whole plans -----------------------------------------------------------------------------
 
 
 def answer_web(spark, sf):
-    corpus, vectors = I.corpus(spark, sf), I.corpus_vectors(spark, sf)
-    asked = I.web_question_vectors(spark, sf)
+    corpus = I.corpus(spark, sf)
+    model = fit_embedder(corpus)
     return answering.answer_web(
         I.web_questions(spark, sf),
         I.messages(spark, sf),
         corpus,
-        lambda q, k: rt.semantic_search(vectors, q.join(asked, "qid"), k),
+        lambda q, k: text_search(corpus, q, k, model),
         lambda q, k: rt.keyword_search(corpus, q, k),
         Settings(num_messages=4),
     )
@@ -519,6 +543,34 @@ def bot_answers(spark, sf):
     )
 
 
+def answer_bot_default(spark, sf):
+    """Answers over the default search, by meaning."""
+    corpus = I.corpus(spark, sf)
+    told = answering.answer_bot(I.questions(spark, sf), corpus, lambda q, k: text_search(corpus, q, k), Settings())
+    return told.withColumn("citations", F.to_json("citations"))
+
+
+def answer_bot_fallback(spark, sf):
+    """A corpus that lacks the configured search column is answered from the next name that is there."""
+    corpus = I.corpus(spark, sf)
+    told = answering.answer_bot(
+        I.questions(spark, sf), corpus, lambda q, k: rt.keyword_search(corpus, q, k), Settings(search_column="body")
+    )
+    return told.withColumn("citations", F.to_json("citations"))
+
+
+def answer_bot_indexed(spark, sf):
+    """Answers over the stored term index."""
+    corpus = I.corpus(spark, sf)
+    path = scratch_folder(spark, "index")
+    ix.write_term_index(corpus, path)
+    index = ix.read_term_index(spark, path)
+    told = answering.answer_bot(
+        I.questions(spark, sf), corpus, lambda q, k: rt.keyword_search_indexed(index, q, k), Settings()
+    )
+    return told.withColumn("citations", F.to_json("citations"))
+
+
 def answer_bot(spark, sf):
     return bot_answers(spark, sf).withColumn("citations", F.to_json("citations"))
 
@@ -544,7 +596,7 @@ def answer_stream(spark, sf):
     ix.write_term_index(corpus, path)
     index = ix.read_term_index(spark, path)
     schema = I.table(spark, sf, "conversations").schema
-    events = user_messages(channels.read_events(spark, f"{sf}/conversations*.parquet", schema))
+    events = user_messages(channels.read_events(spark, f"{sf}/conversation[s].parquet", schema))
     told, _ = answering_stream.answer_stream(
         events, corpus, lambda q, k: rt.keyword_search_indexed(index, q, k), Settings()
     )
@@ -568,7 +620,8 @@ QUERIES = {
         fallback_text, format_failure_fallback,
         message_filter, channel_history_state, first_contact, clear_history, end_session,
         channel_history_state_batch, first_contact_batch, clear_history_batch, end_session_batch,
-        self_join_filter, active_channels, deletion_plan, purge_all,
-        answer_web, answer_bot, answer_bot_pages, answer_stream,
+        self_join_filter, active_channels, deletion_plan, purge_all, purge_resets,
+        answer_web, answer_bot, answer_bot_default, answer_bot_fallback, answer_bot_indexed,
+        answer_bot_pages, semantic_text_search, stored_history, answer_stream,
     )
 } | {"embed_text": embedding, "prompt_bot": bot_prompts}

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from citeflow.functions.text import strip
 from citeflow.operators.prompts import REFUSAL
+from citeflow.session import written
 from citeflow.settings import Settings
 
 APOLOGY = "Sorry, no answer could be produced this time. Please ask again."
@@ -33,8 +34,9 @@ def between(prompt: Column, tag: str) -> Column:
 
 
 # Shape of one numbered document inside a prompt.
-_DOCUMENT = r"(?s)Context document \d+: .*? \[URL: [^\]\n]*\]\n\n"
-_DOCUMENT_PARTS = r"(?s)\AContext document \d+: (.*) \[URL: ([^\]\n]*)\]\n\n\z"
+# A URL holds no line break, but may hold brackets.
+_DOCUMENT = r"(?s)Context document \d+: .*? \[URL: [^\n]*\]\n\n"
+_DOCUMENT_PARTS = r"(?s)\AContext document \d+: (.*) \[URL: ([^\n]*)\]\n\n\z"
 
 
 def extractive_answer(docs: Column) -> Column:
@@ -99,15 +101,15 @@ def complete(
     providers: dict[str, ClientFactory] | None = None,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Add ``out``, the completion of ``prompt``; a null prompt gives null.
+    """Add ``out``, the completion of ``prompt``, and ``<out>_error``; a null prompt gives null.
 
     The provider is checked before any row is read. The offline provider is made of column
-    expressions. Others run in Arrow batches, spread over ``tasks`` (four per core unless given),
-    with one client per partition. Write the result before using it twice: a second pass over an
-    unwritten result calls the service again.
+    expressions and never fails. Others run in Arrow batches, spread over ``tasks`` (four per core unless
+    given), with one client per partition. A call that fails gives null and its message as the error, so it costs no
+    other row its answer. The result is written here, once: later steps read it and never call again.
     """
     if settings.provider == "offline":
-        return _offline(df, prompt, out)
+        return _offline(df, prompt, out).withColumn(f"{out}_error", F.lit(None).cast("string"))
     known = PROVIDERS if providers is None else providers
     if settings.provider not in known:
         raise ValueError(f"unknown completion provider {settings.provider!r}")
@@ -115,13 +117,23 @@ def complete(
 
     def run(batches):
         client = factory()
+
+        def ask(text):
+            if text is None:
+                return None, None
+            try:
+                return client(model, text), None
+            except Exception as e:  # noqa: BLE001 - whatever the service raises belongs to its row
+                return None, f"{type(e).__name__}: {e}"
+
         for batch in batches:
-            batch[out] = [None if p is None else client(model, p) for p in batch[prompt]]
+            told = [ask(text) for text in batch[prompt]]
+            batch[out], batch[f"{out}_error"] = [t[0] for t in told], [t[1] for t in told]
             yield batch
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    more = [T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())]
     tasks = tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks).mapInPandas(run, schema)
+    return written(df.repartition(tasks).mapInPandas(run, T.StructType([*df.schema.fields, *more])), "completed")
 
 
 def model_select(provider: Column, models: dict[str, tuple[str, ...]]) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from decimal import Decimal
-from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import CountVectorizer
@@ -25,14 +24,9 @@ K1 = 1.2
 B = 0.75
 # Fixed value: boost of the semantic leg in the scored merge.
 SEMANTIC_BOOST = Decimal("1.2")
-# One broadcast of questions holds at most this many (question, term) entries or vector numbers;
-# larger question sets are answered in slices of that size, each exact.
-SLICE_ENTRIES = 2_000_000
-# Question sets whose distinct tokens are more than this are split before the corpus is tokenised.
-VOCABULARY = 2_000_000
-# A corpus in more files than this first scores a small share of its rows, see `_best_rows`.
-PRIME_FILES = 1_000
-PRIME_SHARE = 0.001
+# One block of questions holds at most this many (question, term) entries or vector numbers. That bounds what the
+# driver collects and broadcasts at a time; the blocks of a larger question set follow one another.
+BLOCK_ENTRIES = 2_000_000
 
 
 # --- top-k -----------------------------------------------------------------------------------
@@ -55,49 +49,29 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return top.select("qid", "rank", score.alias("score"), "chunk_id")
 
 
-def _slices(questions: DataFrame, entries: int, limit: int) -> list[DataFrame]:
-    n = max(1, math.ceil(entries / limit))
-    if n == 1:
-        return [questions]
-    part = F.pmod(F.xxhash64("qid"), F.lit(n))
-    return [questions.filter(part == i) for i in range(n)]
+def _in_blocks(asked: DataFrame, entries: int, block_entries: int, run) -> DataFrame:
+    """Answer questions block by block: ``run(block)`` gives a block's ranked hits, which are appended to one stored
+    table before the next block begins, so neither plans nor broadcasts pile up. Any number of blocks, also a single
+    one, takes this path."""
+    spark = asked.sparkSession
+    path = scratch_folder(spark, "hits")
+    _no_hits(spark).write.parquet(path)
+    n = math.ceil(entries / block_entries)
+    for i in range(n):
+        part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)
+        run(part, lambda hits: hits.write.mode("append").parquet(path))
+    return spark.read.schema(_no_hits(spark).schema).parquet(path)
 
 
-def _best_of(spark, parts: list[DataFrame], k: int) -> DataFrame:
-    """Final ranking over the slices that had something to score."""
-    return _ranked(reduce(DataFrame.unionByName, parts), k) if parts else _no_hits(spark)
-
-
-def _best_rows(held: DataFrame, scorer, state: tuple, qids: np.ndarray, k: int) -> DataFrame:
-    """Score ``held`` block by block against the broadcast ``state``.
-
-    Each task may emit ``k`` rows per question, which adds up when a corpus has very many tasks. Such
-    a corpus first finds the ``k``-th best score per question among a small share of its rows. That
-    score is a lower bound for the whole corpus, so starting every task from it drops only rows that
-    cannot be in the result, whichever rows were drawn.
-    """
-    context = held.sparkSession.sparkContext
-    asked = context.broadcast(state)
+def _best_rows(held: DataFrame, scorer, state: tuple, k: int, store) -> None:
+    """Score ``held`` in place against the broadcast ``state``, store the ranked best, and let the broadcast go."""
+    asked = held.sparkSession.sparkContext.broadcast(state)
 
     def run(batches):
         return scorer(*asked.value)(batches)
 
-    if len(held.inputFiles()) <= PRIME_FILES:
-        return held.mapInArrow(run, OUTPUT)
-    drawn = held.sample(PRIME_SHARE, seed=1).mapInArrow(run, OUTPUT)
-    kth = (
-        top_k_per_query(drawn, k, [F.col("score_units").desc(), F.col("chunk_id")])
-        .filter(F.col("rank") == k)
-        .select("qid", "score_units")
-        .toPandas()
-    )
-    bound = kth.set_index("qid")["score_units"].reindex(qids).to_numpy(dtype=np.float64)
-    floor = context.broadcast(np.where(np.isnan(bound), -np.inf, bound))
-
-    def run_from_floor(batches):
-        return scorer(*asked.value, floor=floor.value)(batches)
-
-    return held.mapInArrow(run_from_floor, OUTPUT)
+    store(_ranked(held.mapInArrow(run, OUTPUT), k))
+    asked.destroy()
 
 
 def _no_hits(spark) -> DataFrame:
@@ -108,12 +82,18 @@ def _no_hits(spark) -> DataFrame:
 
 
 def keyword_search(
-    corpus: DataFrame, questions: DataFrame, k: int, text: str = "chunk", k1: float = K1, b: float = B
+    corpus: DataFrame,
+    questions: DataFrame,
+    k: int,
+    text: str = "chunk",
+    k1: float = K1,
+    b: float = B,
+    block_entries: int = BLOCK_ENTRIES,
 ) -> DataFrame:
     """Best ``k`` chunks per question by BM25 over ``(qid, question)``.
 
-    The questions' vocabulary is counted inside the rows of the corpus, so the corpus is tokenised
-    once and never shuffled: what is written is one compact row per chunk.
+    A block's vocabulary is counted inside the rows of the corpus, so the corpus is tokenised once a block and
+    never shuffled: what is written is one compact row per chunk.
     """
 
     def features(model):
@@ -121,11 +101,11 @@ def keyword_search(
         slim = counted.select("chunk_id", F.size("tokens").alias("length"), "terms")
         return _written_counts(slim)
 
-    return _keyword(questions, features, None, k, k1, b)
+    return _keyword(questions, features, None, k, k1, b, block_entries)
 
 
 def keyword_search_indexed(
-    index, questions: DataFrame, k: int, k1: float = K1, b: float = B
+    index, questions: DataFrame, k: int, k1: float = K1, b: float = B, block_entries: int = BLOCK_ENTRIES
 ) -> DataFrame:
     """As `keyword_search`, over a stored term index: reads only the buckets of asked tokens."""
 
@@ -134,7 +114,7 @@ def keyword_search_indexed(
         ids = spark.createDataFrame(list(enumerate(model.vocabulary)), "term int, token string")
         return written(index.counts(broadcast_if_small(ids)), "counts")
 
-    return _keyword(questions, features, index.size(), k, k1, b)
+    return _keyword(questions, features, index.size(), k, k1, b, block_entries)
 
 
 def _written_counts(counted: DataFrame) -> DataFrame:
@@ -152,32 +132,23 @@ def _written_counts(counted: DataFrame) -> DataFrame:
     )
 
 
-def _entries(asked: DataFrame) -> int:
-    return asked.agg(F.sum(F.size("tokens"))).first()[0] or 0
+def _keyword(questions, features, size, k, k1, b, block_entries) -> DataFrame:
+    asked = questions.select("qid", F.array_distinct(tokens(F.col("question"))).alias("tokens"))
+    entries = asked.agg(F.sum(F.size("tokens"))).first()[0] or 0
 
+    def run(block, store):
+        _keyword_block(block, features, size, k, k1, b, store)
 
-def _keyword(questions, features, size, k, k1, b) -> DataFrame:
-    asked = questions.select("qid", F.array_distinct(tokens(F.col("question"))).alias("tokens"))
-    entries = _entries(asked)
-    if entries <= VOCABULARY:
-        parts = _keyword_group(asked, entries, features, size, k, k1, b)
-    else:
-        distinct = asked.select(F.explode("tokens")).distinct().count()
-        parts = [
-            part
-            for group in _slices(asked, distinct, VOCABULARY)
-            for part in _keyword_group(group, _entries(group), features, size, k, k1, b)
-        ]
-    return _best_of(questions.sparkSession, parts, k)
-
-
-def _keyword_group(asked, entries, features, size, k, k1, b) -> list[DataFrame]:
-    """One pass over the corpus for the vocabulary of ``asked``, then its questions in slices."""
-    if entries == 0:
-        return []
+    return _in_blocks(asked, entries, block_entries, run)
+
+
+def _keyword_block(asked, features, size, k, k1, b, store) -> None:
     # as large as there are tokens, so no term is left out
+    terms_in_block = asked.agg(F.sum(F.size("tokens"))).first()[0]
+    if not terms_in_block:
+        return
     model = CountVectorizer(
-        inputCol="tokens", outputCol="terms", vocabSize=min(entries, 2**31 - 1), minDF=1.0
+        inputCol="tokens", outputCol="terms", vocabSize=min(terms_in_block, 2**31 - 1), minDF=1.0
     ).fit(asked)
     counts = features(model)
 
@@ -194,7 +165,7 @@ def _keyword_group(asked, entries, features, size, k, k1, b) -> list[DataFrame]:
         size = (0, 0) if totals.empty else tuple(totals.loc[-1, ["df", "total"]])
     n_docs, total_length = int(size[0]), int(size[1])
     if total_length == 0:
-        return []
+        return
     df = np.zeros(len(model.vocabulary))
     known = totals[totals.index >= 0]
     df[known.index.to_numpy()] = known["df"].to_numpy()
@@ -202,32 +173,31 @@ def _keyword_group(asked, entries, features, size, k, k1, b) -> list[DataFrame]:
     held = counts.filter(F.size("term_ids") > 0).select(
         "chunk_id", "length", "term_ids", "term_counts"
     )
-
-    parts = []
-    for part in _slices(model.transform(asked).select("qid", "terms"), entries, SLICE_ENTRIES):
-        rows = part.toPandas()
-        if len(rows):
-            qids = rows["qid"].to_numpy(dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(t.indices) for t in rows["terms"]])])
-            terms = np.concatenate([t.indices for t in rows["terms"]])
-            state = (qids, offsets.astype(np.int64), terms, idf, total_length / n_docs, k, k1, b)
-            parts.append(_best_rows(held, term_scorer, state, qids, k))
-    return parts
+    rows = model.transform(asked).select("qid", "terms").toPandas()
+    qids = rows["qid"].to_numpy(dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(t.indices) for t in rows["terms"]])])
+    terms = np.concatenate([t.indices for t in rows["terms"]])
+    state = (qids, offsets.astype(np.int64), terms, idf, total_length / n_docs, k, k1, b)
+    _best_rows(held, term_scorer, state, k, store)
 
 
 # --- semantic leg ----------------------------------------------------------------------------
 
 
 def semantic_search(
-    corpus_vectors: DataFrame, question_vectors: DataFrame, k: int, vector: str = "vector"
+    corpus_vectors: DataFrame,
+    question_vectors: DataFrame,
+    k: int,
+    vector: str = "vector",
+    block_entries: int = BLOCK_ENTRIES,
 ) -> DataFrame:
     """Best ``k`` chunks per question by cosine of unit vectors, exact.
 
-    Takes ``(chunk_id, vector)`` and ``(qid, vector)``. Each slice of question vectors is broadcast
-    after its size is checked; the corpus is scanned in place and only best rows are shuffled.
+    Takes ``(chunk_id, vector)`` and ``(qid, vector)``. A block of question vectors is broadcast at a time; the corpus
+    is scanned in place and only best rows are shuffled.
     """
     return _semantic(
-        corpus_vectors, question_vectors, k, vector, vector_scorer, lambda qids, m: (qids, m, k)
+        corpus_vectors, question_vectors, k, vector, vector_scorer, lambda qids, m: (qids, m, k), block_entries
     )
 
 
@@ -237,40 +207,42 @@ def semantic_search_ann(
     k: int,
     vector: str = "vector",
     planes: int = 6,
-    probes: int = 24,
+    probes: int | None = None,
     seed: int = 7,
 ) -> DataFrame:
     """As `semantic_search`, scoring a question only against the ``probes`` nearest of
-    ``2 ** planes`` cells cut by random hyperplanes.
+    ``2 ** planes`` cells cut by random hyperplanes; all of them unless fewer are asked for.
 
-    Approximate by design: the share of the exact result it finds grows with ``probes``, up to all
-    of it when every cell is probed. Work is split by corpus partition, not by cell, so a cell that
-    holds a third of the corpus is no hot spot, and scores are exact for every pair looked at.
+    With fewer probes it is approximate by choice: the share of the exact result it finds grows with
+    ``probes``, up to all of it when every cell is probed. Work is split by corpus partition, not by cell, so a cell
+    that holds a third of the corpus is no hot spot, and scores are exact for every pair looked at.
     """
     if not 1 <= planes <= 12:
         raise ValueError("planes must be between 1 and 12")
 
     def state(qids, matrix):
         cut = np.random.default_rng(seed).standard_normal((planes, matrix.shape[1]))
-        return (qids, matrix, cut, min(probes, 1 << planes), k)
+        return (qids, matrix, cut, min(probes or 1 << planes, 1 << planes), k)
 
-    return _semantic(corpus_vectors, question_vectors, k, vector, cell_scorer, state)
+    return _semantic(corpus_vectors, question_vectors, k, vector, cell_scorer, state, BLOCK_ENTRIES)
 
 
-def _semantic(corpus_vectors, question_vectors, k, vector, scorer, state) -> DataFrame:
+def _semantic(corpus_vectors, question_vectors, k, vector, scorer, state, block_entries) -> DataFrame:
     asked = question_vectors.filter(F.col(vector).isNotNull()).select("qid", vector)
     n, dim = asked.agg(F.count("*"), F.max(F.size(vector))).first()
-    if not n:
-        return _no_hits(asked.sparkSession)
     held = corpus_vectors.filter(F.col(vector).isNotNull()).select("chunk_id", vector)
-    parts = []
-    for part in _slices(asked, n * dim, SLICE_ENTRIES):
-        rows = part.toPandas()
+    blocks = math.ceil(n * (dim or 0) / block_entries)
+    # Several blocks read the vectors again and again: what made them is then done once.
+    held = written(held, "vectors") if blocks > 1 else held
+
+    def run(block, store):
+        rows = block.toPandas()
         if len(rows):
             qids = rows["qid"].to_numpy(dtype=np.int64)
             matrix = np.stack(rows[vector].to_numpy()).astype(np.float64)
-            parts.append(_best_rows(held, scorer, state(qids, matrix), qids, k))
-    return _best_of(asked.sparkSession, parts, k)
+            _best_rows(held, scorer, state(qids, matrix), k, store)
+
+    return _in_blocks(asked, n * (dim or 0), block_entries, run)
 
 
 # --- columns of hits ------------------------------------------------------------------------

@@ -115,47 +115,75 @@ def active_channels(events: DataFrame) -> DataFrame:
     return message_filter(events).select("channel").dropDuplicates(["channel"])
 
 
-def _in_pages(messages: DataFrame, per_page: int, **slicing) -> DataFrame:
-    """Add ``page_no`` from 0, newest messages first."""
+def _in_pages(messages: DataFrame, keys: list[str], per_page: int, **slicing) -> DataFrame:
+    """Add ``page_no`` from 0 within the keys, newest messages first."""
     numbered = running_totals(
-        messages, ["channel"], "ts", "event_id", {"_row": F.lit(1)}, descending=True, **slicing
+        messages, keys, "ts", "event_id", {"_row": F.lit(1)}, descending=True, **slicing
     )
     page = F.floor((F.col("_row") - 1) / per_page).cast("int")
     return numbered.withColumn("page_no", page).drop("_row")
 
 
+def _sessions(events: DataFrame, **slicing) -> DataFrame:
+    """Messages and ends with ``_epoch``, the ends of the channel before them; an end closes its own epoch."""
+    kept = events.filter(F.col("kind").isin("message", "end"))
+    ends = F.when(F.col("kind") == "end", 1).otherwise(0)
+    counted = running_totals(kept, ["channel"], "ts", "event_id", {"_ends": ends}, **slicing)
+    return counted.withColumn("_epoch", F.col("_ends") - ends).drop("_ends")
+
+
+def _credential(has_user_credential: bool) -> Column:
+    from_bot = F.coalesce("bot_id", F.lit("")) != ""
+    credential = F.when(from_bot, BOT_CREDENTIAL)
+    return credential.otherwise(USER_CREDENTIAL) if has_user_credential else credential
+
+
 def deletion_plan(
-    messages: DataFrame,
-    ended: DataFrame,
+    events: DataFrame,
     has_user_credential: bool = True,
     per_page: int = DELETIONS_PER_PAGE,
     **slicing,
 ) -> DataFrame:
-    """``(channel, event_id, page_no, credential)`` for the messages of ended channels.
+    """``(channel, end_event_id, event_id, page_no, credential)``: the messages each end deletes.
 
-    Bot messages go with the bot's credential, others with the user's, or are left if there is none.
-    Pages count every message of a channel, also those that are left.
+    An end lists what its channel holds at that moment: a message goes with the first end after it, and
+    messages after the last end stay. Bot messages go with the bot's credential, others with the user's, or are
+    left if there is none. Pages count from the newest message of the channel at that end, also those that are
+    left; what earlier ends left is older and moves no page.
     """
-    channels = broadcast_if_small(ended.select("channel").distinct())
-    paged = _in_pages(messages.join(channels, "channel", "left_semi"), per_page, **slicing)
-    from_bot = F.coalesce("bot_id", F.lit("")) != ""
-    credential = F.when(from_bot, BOT_CREDENTIAL)
-    if has_user_credential:
-        credential = credential.otherwise(USER_CREDENTIAL)
+    told = _sessions(events, **slicing)
+    ends = told.filter(F.col("kind") == "end").select(
+        "channel", "_epoch", F.col("event_id").alias("end_event_id")
+    )
+    messages = told.filter(F.col("kind") == "message").join(broadcast_if_small(ends), ["channel", "_epoch"])
+    paged = _in_pages(messages, ["channel", "_epoch"], per_page, **slicing)
     return (
-        paged.withColumn("credential", credential)
+        paged.withColumn("credential", _credential(has_user_credential))
         .filter(F.col("credential").isNotNull())
-        .select("channel", "event_id", "page_no", "credential")
+        .select("channel", "end_event_id", "event_id", "page_no", "credential")
     )
 
 
 def purge_all(
-    messages: DataFrame, active: DataFrame, per_page: int = DELETIONS_PER_PAGE, **slicing
+    events: DataFrame,
+    has_user_credential: bool = True,
+    per_page: int = DELETIONS_PER_PAGE,
+    **slicing,
 ) -> DataFrame:
-    """``(channel, event_id, page_no, credential)`` for every message of every active channel, all
-    with one credential."""
-    channels = broadcast_if_small(active.select("channel").distinct())
-    paged = _in_pages(messages.join(channels, "channel", "left_semi"), per_page, **slicing)
-    return paged.select(
-        "channel", "event_id", "page_no", F.lit(BOT_CREDENTIAL).alias("credential")
-    )
+    """``(channel, event_id, page_no, credential)`` for the messages that active channels still hold after all
+    events, all with one credential. What an end has deleted is gone."""
+    active = broadcast_if_small(active_channels(events))
+    told = _sessions(events, **slicing)
+    ended = told.filter(F.col("kind") == "end").select("channel", "_epoch", F.lit(True).alias("_gone"))
+    held = told.filter(F.col("kind") == "message").join(broadcast_if_small(ended), ["channel", "_epoch"], "left")
+    deleted = F.col("_gone") & _credential(has_user_credential).isNotNull()
+    present = held.filter(~F.coalesce(deleted, F.lit(False))).join(active, "channel", "left_semi")
+    paged = _in_pages(present, ["channel"], per_page, **slicing)
+    return paged.select("channel", "event_id", "page_no", F.lit(BOT_CREDENTIAL).alias("credential"))
+
+
+def purge_resets(events: DataFrame) -> DataFrame:
+    """``(channel, entries)``: the stored history a purge empties, for channels that hold any."""
+    latest = F.max_by("history_len", F.struct("ts", "event_id")).cast("bigint").alias("entries")
+    told = channel_history_state(events).join(events.select("channel", "event_id", "ts"), ["channel", "event_id"])
+    return told.groupBy("channel").agg(latest).filter(F.col("entries") > 0)

@@ -21,7 +21,7 @@ from citeflow.operators.rendering import rendered_pages
 from citeflow.operators.retrieval import hybrid_first_seen, legs, search_projection
 from citeflow.session import written
 from citeflow.settings import Settings
-from citeflow.sources.corpus import content_fallback
+from citeflow.sources.corpus import CONTENT_NAMES, content_fallback
 from citeflow.sources.transcript import transcript_rows
 
 # A search: questions ``(qid, question)`` and k to hits ``(qid, rank, score, chunk_id)``.
@@ -91,7 +91,9 @@ def answer_bot(
     there is no response.
     """
     k, text = settings.num_chunks, settings.search_column
-    columns = [c for c in (text, settings.title_column, settings.url_column) if c in corpus.columns]
+    # The content may come under several names, so a corpus without the configured column answers too.
+    content = [c for c in (text, *CONTENT_NAMES) if c in corpus.columns][:1]
+    columns = [*content, *[c for c in (settings.title_column, settings.url_column) if c in corpus.columns]]
     asked = questions.withColumn("question", question_normalize(F.col("question"), "bot"))
     hits = written(search(asked.select("qid", "question"), k), "hits")
     results = content_fallback(search_projection(hits, corpus, columns), text, columns).select(
@@ -108,7 +110,7 @@ def answer_bot(
         .withColumn("prompt", prompt_bot(F.col("context"), F.col("citations"), F.col("question")))
     )
     answered = complete(prompted.drop("results"), settings)
-    return answered.withColumn("shown", response_or_apology(F.col("response"))).drop("prompt")
+    return answered.withColumn("shown", response_or_apology(F.col("response"))).drop("prompt", "response_error")
 
 
 def web_transcript(questions: DataFrame, answered: DataFrame) -> DataFrame:

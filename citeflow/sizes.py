@@ -20,17 +20,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
-# Rows a table may hold to be dealt out again over the cores.
-SPREAD_ROWS = 2_000_000
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out over the cores a table that is read in fewer tasks than there are cores.
 
-
-def spread_if_small(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small table that lies in fewer files than there are cores out over the cores.
-
-    One small file often is one row group, which only one task can read. Tables in many files, or
-    with more rows than `SPREAD_ROWS`, are read as they lie and not shuffled.
+    One small file often is one row group, which only one task can read. The plan's own number of tasks decides;
+    nothing is read or counted for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.limit(SPREAD_ROWS + 1).count() > SPREAD_ROWS:
-        return df
-    return df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

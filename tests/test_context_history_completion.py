@@ -140,6 +140,30 @@ def test_pluggable_provider(spark):
         completion.complete(df, settings, providers={})
 
 
+def test_a_failing_call_costs_only_its_row(spark):
+    def client(model, prompt):
+        if prompt == "bad":
+            raise TimeoutError("too slow")
+        return prompt.upper()
+
+    df = spark.createDataFrame([(i, "bad" if i % 3 == 0 else f"p{i}") for i in range(9)], "id int, prompt string")
+    out = completion.complete(df, Settings(provider="x", models={"x": ("m",)}), providers={"x": lambda: client}, tasks=1)
+    got = {r["id"]: (r["response"], r["response_error"]) for r in out.collect()}
+    assert got == {i: (None, "TimeoutError: too slow") if i % 3 == 0 else (f"P{i}", None) for i in range(9)}
+    assert "MapInPandas" not in plan_of(out)
+
+
+def test_brackets_in_a_url(spark):
+    text = "Context document 1: First one. Second. [URL: https://x/[1]]\n\nContext document 2: Two. [URL: #]\n\n"
+    df = spark.createDataFrame([(text,)], "context string")
+    prompted = df.withColumn("prompt", prompts.prompt_web(F.lit("[]"), F.col("context"), F.lit("q")))
+    said = completion.complete(prompted, Settings()).first()["response"]
+    assert said == (
+        "First one. [^1]\nTwo. [^2]\n\nSources:\n"
+        "[^1] [Context document 1](https://x/[1])\n[^2] [Context document 2](#)"
+    )
+
+
 def test_model_and_apology(spark):
     df = spark.createDataFrame([("offline", "x"), ("openai", ""), ("openai", None)], "p string, r string")
     rows = df.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from citeflow.operators import best_matches, retrieval
 from citeflow.operators import index as ix
-from citeflow.operators.embedding import embed_text, fit_embedder
+from citeflow.operators.embedding import embed_text, fit_embedder, text_search
 from tests.conftest import plan_of
 
 WORDS = [f"t{i}" for i in range(40)]
@@ -72,31 +72,22 @@ def test_keyword_is_brute_force(small):
         assert as_set(retrieval.keyword_search(corpus, questions, k)) == bm25(rows, QUESTIONS, k)
 
 
-def test_keyword_in_slices_and_small_blocks(small, monkeypatch):
+def test_keyword_in_many_blocks(small, monkeypatch):
+    """Blocks of a few terms each go the way one block goes."""
     rows, corpus, questions = small
-    monkeypatch.setattr(retrieval, "SLICE_ENTRIES", 5)
     monkeypatch.setattr(best_matches, "BLOCK_CELLS", 50)
     monkeypatch.setattr(best_matches, "PENDING_ROWS", 10)
-    assert as_set(retrieval.keyword_search(corpus, questions, 4)) == bm25(rows, QUESTIONS, 4)
-    monkeypatch.setattr(retrieval, "VOCABULARY", 10)
-    assert as_set(retrieval.keyword_search(corpus, questions, 4)) == bm25(rows, QUESTIONS, 4)
-
-
-def test_floors_from_a_few_rows_change_nothing(small, vector_frames, monkeypatch):
-    rows, corpus, questions = small
-    vectors_, asked, want = vector_frames
-    monkeypatch.setattr(retrieval, "PRIME_FILES", -1)
-    for share in (0.0, 0.05, 0.5, 1.0):
-        monkeypatch.setattr(retrieval, "PRIME_SHARE", share)
-        assert as_set(retrieval.keyword_search(corpus, questions, 4)) == bm25(rows, QUESTIONS, 4)
-        assert units(retrieval.semantic_search(vectors_, asked, 6)) == want
+    for entries in (1, 5, 10):
+        found = retrieval.keyword_search(corpus, questions, 4, block_entries=entries)
+        assert as_set(found) == bm25(rows, QUESTIONS, 4)
 
 
 def test_keyword_over_stored_index(small, spark, tmp_path):
     rows, corpus, questions = small
     path = str(tmp_path / "index")
     ix.write_term_index(corpus, path, buckets=4)
-    index = ix.read_term_index(spark, path, buckets=4)
+    index = ix.read_term_index(spark, path)
+    assert index.buckets == 4
     assert as_set(retrieval.keyword_search_indexed(index, questions, 6)) == bm25(rows, QUESTIONS, 6)
 
 
@@ -158,10 +149,9 @@ def units(df):
 def test_semantic_is_brute_force(vector_frames, monkeypatch):
     corpus, questions, want = vector_frames
     assert units(retrieval.semantic_search(corpus, questions, 6)) == want
-    monkeypatch.setattr(retrieval, "SLICE_ENTRIES", 100)
     monkeypatch.setattr(best_matches, "BLOCK_CELLS", 64)
     monkeypatch.setattr(best_matches, "PENDING_ROWS", 10)
-    assert units(retrieval.semantic_search(corpus, questions, 6)) == want
+    assert units(retrieval.semantic_search(corpus, questions, 6, block_entries=100)) == want
 
 
 def test_ann_recall(vector_frames, spark):
@@ -219,6 +209,18 @@ def test_embedding_is_unit_length(spark):
     assert norms[1] == pytest.approx(1, abs=1e-5) and norms[2] == pytest.approx(1, abs=1e-5) and norms[3] == 0
 
 
+def test_text_decides_what_is_found(spark):
+    """Questions are searched by their texts: the same id with another text finds other chunks."""
+    corpus = spark.createDataFrame(
+        [(1, "rivers and bridges of the north"), (2, "bread and butter and salt"), (3, "")], "chunk_id long, chunk string"
+    )
+    def best(text):
+        asked = spark.createDataFrame([(7, text)], "qid long, question string")
+        return [r.chunk_id for r in text_search(corpus, asked, 1).collect()]
+
+    assert (best("bridges over rivers"), best("salt on bread")) == ([1], [2])
+
+
 # --- merging -------------------------------------------------------------------------------
 
 

@@ -138,18 +138,30 @@ def test_running_totals_with_a_hot_key(spark):
 
 def test_deletions(spark):
     rows = [(1, "message", "x", "b1" if i % 3 == 0 else ("" if i == 1 else None), None) for i in range(250)]
-    messages = events(spark, rows + [(2, "message", "y", None, None)])
-    ended = spark.createDataFrame([(1,), (1,)], "channel long")
-    plan = {r.event_id: (r.page_no, r.credential) for r in sessions.deletion_plan(messages, ended).collect()}
+    story = events(spark, [*rows, (2, "message", "y", None, None), (1, "end", None, None, None)])
+    plan = {r.event_id: (r.page_no, r.credential) for r in sessions.deletion_plan(story).collect()}
     assert len(plan) == 250 and plan[249] == (0, "bot") and plan[150][0] == 0 and plan[149][0] == 1 and plan[0][0] == 2
     assert plan[1][1] == "user"
-    bots = sessions.deletion_plan(messages, ended, has_user_credential=False).collect()
+    bots = sessions.deletion_plan(story, has_user_credential=False).collect()
     assert {r.credential for r in bots} == {"bot"} and all(plan[r.event_id][0] == r.page_no for r in bots)
-    sliced = sessions.deletion_plan(messages, ended, rows_per_slice=40)
+    sliced = sessions.deletion_plan(story, rows_per_slice=40)
     assert {r.event_id: (r.page_no, r.credential) for r in sliced.collect()} == plan
-    active = spark.createDataFrame([(1,), (2,), (3,)], "channel long")
-    purge = sessions.purge_all(messages, active)
-    assert purge.count() == 251 and {r.credential for r in purge.collect()} == {"bot"}
+    assert [r.event_id for r in sessions.purge_all(story).collect()] == [250]
+    left = sessions.purge_all(story, has_user_credential=False).collect()
+    assert len(left) == 1 + sum(i % 3 != 0 for i in range(250)) and {r.credential for r in left} == {"bot"}
+
+
+def test_an_end_deletes_what_came_before_it(spark):
+    """A channel that ended twice, a message after the last end, a channel that never ended."""
+    story = events(spark, [
+        (1, "message", "a", None, "re"), (1, "end", None, None, None), (1, "message", "b", "b1", None),
+        (1, "message", "c", None, "re"), (1, "end", None, None, None), (1, "message", "d", None, "re"),
+        (2, "message", "e", None, "re"), (3, "message", "bot only", "b1", None),
+    ])
+    plan = sorted(tuple(r) for r in sessions.deletion_plan(story).collect())
+    assert plan == [(1, 1, 0, 0, "user"), (1, 4, 2, 0, "bot"), (1, 4, 3, 0, "user")]
+    assert sorted(r.event_id for r in sessions.purge_all(story).collect()) == [5, 6]
+    assert sorted(tuple(r) for r in sessions.purge_resets(story).collect()) == [(1, 2), (2, 2)]
 
 
 def test_joins(spark):
