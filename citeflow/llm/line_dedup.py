@@ -91,7 +91,10 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ).where("hub < last")
     buckets = held.groupBy("c", "hub", "last", "x").agg(F.min("key").alias("key"), F.count("*").alias("w"))
     members = scratch.write(banded.join(buckets.select("key", "hub", "w"), "key"), "members")
-    scratch.drop("bands")
+    # Texts of the lines that meet another one: the only ones to be compared.
+    met_lines = lines.join(members.select("id").distinct(), "id", "left_semi")
+    lines = scratch.write(met_lines.select("id", "norm"), "met")
+    scratch.drop("bands", "lines")
 
     # First the line each one shares most bands with among the buckets' least; that joins most of a
     # large cluster at one comparison a line.
@@ -121,7 +124,7 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         F.xxhash64("norm").alias("l1"), F.xxhash64(F.lit("b"), "norm").alias("l2"), "component"
     )
     named = scratch.write(named, "classes")
-    scratch.drop("lines", "members", "first", "links1", "found1", "links2")
+    scratch.drop("met", "members", "first", "links1", "found1", "links2")
     return named
 
 
