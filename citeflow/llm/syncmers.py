@@ -89,7 +89,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def shifted(found: Column, by: Column) -> Column:
-    return F.transform(found, lambda x: x + F.shiftleft(by.cast("long"), 32))
+    return let(F.shiftleft(by.cast("long"), 32), lambda d: F.transform(found, lambda x: x + d))
 
 
 def joined_anchors(a: Column, a_text: Column, b: Column, b_text: Column) -> Column:
@@ -101,7 +101,7 @@ def joined_anchors(a: Column, a_text: Column, b: Column, b_text: Column) -> Colu
 
 
 def _inside(found: Column, length: Column) -> Column:
-    return F.filter(found, lambda x: F.shiftright(x, 32) + K <= length)
+    return let(length, lambda n: F.filter(found, lambda x: F.shiftright(x, 32) + K <= n))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
