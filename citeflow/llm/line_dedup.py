@@ -163,13 +163,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     def without(kept_lines: Column, gone: Column) -> Column:
         # Positions that stay, as runs between the dropped ones: linear in the lines.
-        ends = F.concat(gone, F.array(F.size(kept_lines)))
-        runs = F.transform(
-            ends, lambda e, i: F.slice(
-                kept_lines, F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1) + 1,
-                e - F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1),
-            )
-        )
+        def runs_to(ends: Column) -> Column:
+            def run(end: Column, i: Column) -> Column:
+                begin = F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1)
+                return F.slice(kept_lines, begin + 1, end - begin)
+
+            return F.transform(ends, run)
+
+        runs = let(F.concat(gone, F.array(F.size(kept_lines))), runs_to)
         return F.array_join(F.flatten(runs), "\n")
 
     left = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(
