@@ -11,6 +11,7 @@ import base64
 import hashlib
 import io
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -30,6 +31,7 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT_FROM = 1000  # bytes a payload has at least for its copies to be stored as revisits
 ARCHIVE_BYTES = 256 << 20  # payload bytes after which a task begins another archive
 RANGE_BYTES = 4 << 20  # neighbouring records read at once
+RANGES_PER_TASK = 4
 DATE = "2024-01-01T00:00:00Z"
 # Fixed values of the two formats.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -340,9 +342,12 @@ def archived(pages: DataFrame, payloads: bool = True) -> DataFrame:
     scratch = Scratch(spark, "warc")
     folder = scratch_folder(spark, "archives")
     manifest = scratch.write(write_archives(pages, folder), "manifest")
-    ranges = scratch.write(record_ranges(manifest.repartition("archive"), folder), "ranges")
+    # Rows that name files are tiny and what they stand for is not: tasks are dealt out by their number, which
+    # adaptive execution leaves alone.
+    ranges = scratch.write(record_ranges(manifest.repartition(max(1, manifest.count())), folder), "ranges")
     scratch.drop("manifest")
-    return read_records(ranges.repartition("archive", "start"), folder, payloads)
+    tasks = math.ceil(ranges.count() / RANGES_PER_TASK) or 1
+    return read_records(ranges.repartition(tasks), folder, payloads)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
