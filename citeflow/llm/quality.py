@@ -79,7 +79,9 @@ def with_features(docs: DataFrame) -> DataFrame:
         F.size(F.filter(rows, lambda x: x.rlike(r"[.!?:;…。！？]['\"\)»”]*[\x20\x09-\x0D]*$")))
         .cast("long").alias("n_ended"),
     )
-    return first.withColumn("_q", counts).drop("_words", "_lines")
+    # As a generated column the counts are made once a row: a filter on what follows from them can't be moved below
+    # and repeat them. The outer form adds no filter of its own.
+    return first.withColumn("_q", F.explode_outer(F.array(counts))).drop("_words", "_lines")
 
 
 @dataclass(frozen=True)
