@@ -31,11 +31,11 @@ JACCARD_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE
-    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
   FROM d
 ), n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id
