@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from citeflow.llm.components import components
 from citeflow.llm.quality import BLANK, let
@@ -16,6 +16,11 @@ SHINGLE = 9  # characters
 PERCENT = 80
 # Six bands of three values: two lines at 0.8 meet in a band with probability 0.987, at 0.9 with 0.9996.
 BANDS, ROWS = 6, 3
+# Buckets of so many lines are compared pair by pair, larger ones by prefixes.
+FEW = 8
+# The list of frequent shingles of crowded lines is broadcast: at most so many, seen in so many lines at least.
+HEAVY_FROM, HEAVY_LIST = 4, 500_000
+GROWTH = 1.05  # from one class of sizes to the next
 _STEP, _WIDTH = 4, 4 * SHINGLE  # bytes of UTF-32
 
 
@@ -74,6 +79,51 @@ def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where((100 + PERCENT) * common >= PERCENT * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def _prefix_pairs(crowd: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``(a, b)`` of ``crowd(id, norm, root)`` that may be similar and lie in two components; none that is similar
+    is missing.
+
+    Sets of n and m shingles with a similarity of 0.8 share at least o = 4/9 (n + m) of them, so under one order of all
+    shingles the first n - o + 1 of one and the first m - o + 1 of the other hold a common one. The order puts
+    frequent shingles last. Lines are dealt out by classes of sizes, which keeps o close to its exact value: what
+    unlike lines of one template share then lies behind their prefixes.
+    """
+    sets = scratch.write(crowd.select("id", "root", shingles(F.col("norm")).alias("s")), "crowd")
+    # Any order is exact, so a list that is cut costs time only.
+    heavy = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= HEAVY_FROM)
+    heavy = heavy.orderBy(F.desc("c"), "h").limit(HEAVY_LIST)
+    each = sets.repartition("id").select("id", "root", F.explode("s").alias("h")).join(F.broadcast(heavy), "h", "left")
+    ranked = each.groupBy("id", "root").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)), "h"))).alias("s"))
+    ranked = ranked.select("id", "root", F.col("s.h").alias("s"), F.size("s").alias("n"))
+    ranked = ranked.withColumn("cls", F.floor(F.log("n") / math.log(GROWTH) + 1e-9).cast("int"))
+    apart = range(int(math.log(100 / PERCENT) / math.log(GROWTH)) + 2)
+
+    def shared(m: Column) -> Column:
+        """What a line has in common with a similar one of m shingles or more. Rounding never adds to it."""
+        return F.ceil((F.col("n") + m) * (PERCENT / (100 + PERCENT)) * (1 - 1e-6)).cast("int")
+
+    def entries(gap: Column, m: Column) -> Column:
+        # An empty prefix means that no line of that class is near enough in size.
+        return F.struct(gap.alias("gap"), F.slice("s", 1, F.greatest(F.lit(0), F.col("n") - shared(m) + 1)).alias("s"))
+
+    def least(cls: Column) -> Column:
+        return F.pow(F.lit(GROWTH), cls)
+
+    def spread(name: str, parts: list[Column], cls: Column) -> DataFrame:
+        out = ranked.select("id", "root", "n", "cls", F.explode(F.array(*parts)).alias("e"))
+        out = out.select("id", "root", "n", "cls", "e.gap", F.posexplode("e.s").alias("at", "h"))
+        return out.select("h", "gap", cls.alias("cls"), *[F.col(c).alias(f"{name}_{c}") for c in ("id", "root", "n", "at")])
+
+    lesser = [entries(F.lit(d), F.greatest(F.col("n"), least(F.col("cls") + d))) for d in apart]
+    greater = [entries(F.lit(d), F.greatest(F.col("n") * (PERCENT / 100), least(F.col("cls") - d))) for d in apart]
+    x, y = spread("x", lesser, F.col("cls")), spread("y", greater, F.col("cls") - F.col("gap"))
+    met = x.join(y, ["h", "gap", "cls"]).where("x_root <> y_root AND (x_n < y_n OR x_n = y_n AND x_id < y_id)")
+    # What is left from the common shingle on must do.
+    rest = 1 + F.least(F.col("x_n") - F.col("x_at") - 1, F.col("y_n") - F.col("y_at") - 1)
+    in_front = (100 + PERCENT) * (rest + F.least("x_at", "y_at")) >= PERCENT * (F.col("x_n") + F.col("y_n"))
+    return met.where(in_front).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+
+
 def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(l1, l2, component)`` for the lines that are like another one; l1 and l2 name the normalised line."""
     texts = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(_norm(F.col("line")).alias("norm"))
@@ -82,15 +132,13 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lines = scratch.write(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
     signed = _signatures(lines)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    # Beside its key every entry carries the key of the next band, by which a bucket is ordered.
-    entries = F.array(*[F.struct(keys[b].alias("key"), keys[(b + 1) % BANDS].alias("o")) for b in range(BANDS)])
-    banded = scratch.write(signed.select("id", F.explode(entries).alias("e")).select("id", "e.key", "e.o"), "bands")
+    banded = scratch.write(signed.select("id", F.explode(F.array(*keys)).alias("key")), "bands")
 
     held = banded.groupBy("key").agg(
         F.count("*").alias("c"), F.min("id").alias("hub"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("x")
     ).where("hub < last")
     buckets = held.groupBy("c", "hub", "last", "x").agg(F.min("key").alias("key"), F.count("*").alias("w"))
-    members = scratch.write(banded.join(buckets.select("key", "hub", "w"), "key"), "members")
+    members = scratch.write(banded.join(buckets.select("key", "hub", "w", "c"), "key"), "members")
     # Texts of the lines that meet another one: the only ones to be compared.
     met_lines = lines.join(members.select("id").distinct(), "id", "left_semi")
     lines = scratch.write(met_lines.select("id", "norm"), "met")
@@ -104,19 +152,20 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     links = scratch.write(_similar(first, lines), "links1")
     found = scratch.write(components(links, scratch, "one"), "found1")
 
-    # Then every bucket's least line and the neighbours in the bucket, where ends still lie apart. A
-    # bucket is cut into sixteen by the next band's key, so a large one is ordered in pieces.
-    beside = F.lag("id").over(W.partitionBy("key", F.shiftrightunsigned("o", 60)).orderBy("o", "id"))
-    near = members.select("id", "hub", beside.alias("prev"))
-    asked = near.select(F.explode(F.array("hub", "prev")).alias("x"), "id").where("x IS NOT NULL AND x <> id")
-    asked = asked.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    root = found.select("node", "component")
-    apart = (
-        asked.join(root.select(F.col("node").alias("a"), F.col("component").alias("ra")), "a", "left")
-        .join(root.select(F.col("node").alias("b"), F.col("component").alias("rb")), "b", "left")
-        .where("coalesce(ra, a) <> coalesce(rb, b)")
-        .select("a", "b")
-        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    # Then, completely: every bucket that still holds lines of several components.
+    rooted = members.select("key", "c", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "c", "id", F.coalesce("component", "id").alias("root")
+    )
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    rooted = scratch.write(rooted.join(mixed.select("key"), "key", "left_semi"), "open")
+    few = rooted.where(F.col("c") <= FEW)
+    pairs = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra")).join(
+        few.select("key", F.col("id").alias("b"), F.col("root").alias("rb")), "key"
+    ).where("a < b AND ra <> rb").select("a", "b")
+    crowd = lines.join(rooted.where(F.col("c") > FEW).select("id", "root").distinct(), "id")
+    asked = pairs.unionByName(_prefix_pairs(crowd, scratch)).distinct()
+    apart = scratch.write(
+        asked.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "apart"
     )
     more = scratch.write(_similar(apart, lines), "links2")
     all_found = components(links.unionByName(more), scratch, "two")
@@ -124,7 +173,7 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         F.xxhash64("norm").alias("l1"), F.xxhash64(F.lit("b"), "norm").alias("l2"), "component"
     )
     named = scratch.write(named, "classes")
-    scratch.drop("met", "members", "first", "links1", "found1", "links2")
+    scratch.drop("met", "members", "first", "links1", "found1", "open", "crowd", "apart", "links2")
     return named
 
 

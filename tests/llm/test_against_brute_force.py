@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 from tests.llm import plain
@@ -76,6 +77,42 @@ def test_near_lines_of_a_large_group(spark):
     assert sum("unlike" in r["text"] for r in got) == 400
 
 
+def test_small_families_in_a_crowded_bucket(spark):
+    """Lines that share a passage meet in crowded buckets; each is still found to be like its one sibling."""
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage, n = word(63), 1500
+    families = [[(own := word(10)) + word(5), own + word(5)] for _ in range(n)]
+    rows = [(side * n + i, passage + family[side]) for i, family in enumerate(families) for side in (0, 1)]
+    few = [r for r in rows if r[0] % n < 40]
+    for part in (few, rows):
+        got = line_dedup.dedup_lines(spark.createDataFrame(part, "doc_id long, text string")).collect()
+        kept = {r["row"]["doc_id"] for r in got if not r["n_dropped"]}
+        assert kept >= {i for i, _ in part if i < n}
+        # Lines that share no band at all are not candidates.
+        assert sum(i >= n for i in kept) <= 0.01 * len(part) / 2
+    want = plain.deduped_lines(few)
+    assert sorted(i for i, t in want.items() if t) == list(range(40))
+
+
+def test_prefixes_miss_no_pair(spark):
+    """All pairs of a crowd of lines of many lengths that are similar are among the candidates."""
+    from citeflow.llm.tables import Scratch
+
+    draw, texts = random.Random(11), []
+    for i in range(60):
+        base = "".join(draw.choices("abcd ", k=draw.randint(9, 160)))
+        for _ in range(6):
+            cut = draw.randint(0, len(base) // 4)
+            texts.append(base[cut:] + "".join(draw.choices("abcd ", k=draw.randint(0, len(base) // 6))))
+    sets = [{t[k : k + 9] for k in range(max(1, len(t) - 8))} for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    crowd = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id long, norm string, root long")
+    got = {(r["a"], r["b"]) for r in line_dedup._prefix_pairs(crowd, Scratch(spark, "test")).collect()}
+    assert len(want) > 300 and want <= got
+    assert len(got) < len(sets) * (len(sets) - 1) / 4
+
+
 def test_secrets(spark, sf, plain_rows):
     got = by_id(queries.QUERIES["op3_secret_scan"](spark, sf))
     kinds = ("assign", "access", "hex")
