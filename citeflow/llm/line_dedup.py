@@ -14,8 +14,8 @@ from citeflow.llm.tables import Scratch, row_key
 
 SHINGLE = 9  # characters
 PERCENT = 80
-# Six bands of three values: two lines at 0.8 meet in a band with probability 0.987, at 0.9 with 0.9996.
-BANDS, ROWS = 6, 3
+# Ten bands of three values: two lines at 0.8 meet in a band with probability 0.9992.
+BANDS, ROWS = 10, 3
 # Buckets of so many lines are compared pair by pair, larger ones by prefixes.
 FEW = 8
 # The list of frequent shingles of crowded lines is broadcast: at most so many, seen in so many lines at least.
@@ -26,7 +26,7 @@ _STEP, _WIDTH = 4, 4 * SHINGLE  # bytes of UTF-32
 
 def _masks() -> list[int]:
     draw = random.Random(20_240_229)
-    return [draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+    return [draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS // 2)]
 
 
 def _norm(line: Column) -> Column:
@@ -56,16 +56,16 @@ def _signatures(lines: DataFrame) -> DataFrame:
     """``(id, m0, m1, ...)``: the least value of each permutation over a line's shingles.
 
     One row a quarter of the shingles is made and folded away at once by map-side aggregation; all
-    shingles of a line lie in one partition, so what is shuffled is one row a line. A permutation is an exclusive or
-    of the 64-bit hash with a constant.
+    shingles of a line lie in one partition, so what is shuffled is one row a line. Each constant mixes the 64-bit
+    hash anew, and the two halves of the mixed value are two permutations.
     """
     code = lines.select("id", F.encode("norm", "UTF-32").alias("code")).withColumn("last", _last(F.col("code")))
     at = code.select("id", "code", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * _STEP))).alias("i"))
     four = [F.least(F.col("i") + _STEP * j, F.col("last")) for j in range(4)]
     hashed = at.select("id", *[F.xxhash64(F.substring(F.col("code"), p, F.lit(_WIDTH))).alias(f"h{j}") for j, p in enumerate(four)])
-    return hashed.groupBy("id").agg(
-        *[F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(4)])).alias(f"m{i}") for i, c in enumerate(_masks())]
-    )
+    mixed = [[F.xxhash64(F.col(f"h{j}").bitwiseXOR(F.lit(c))) for j in range(4)] for c in _masks()]
+    halves = [f for m in mixed for f in (m, [F.shiftleft(x, 32) for x in m])]
+    return hashed.groupBy("id").agg(*[F.min(F.least(*f)).alias(f"m{i}") for i, f in enumerate(halves)])
 
 
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
