@@ -17,8 +17,7 @@ FREQUENT, BUCKETS = 192, 64  # words with a class of their own, and classes all
 CLASSES = FREQUENT + BUCKETS
 EDGE = CLASSES  # stands for what lies beyond the text
 SIDE, WIDTH = 2, 16  # words seen on each side, size of the hidden layer
-STRIDE = 32  # in each round every document trains on each 32nd of its words, another one every round
-ROUNDS, BATCH, RATE = 2, 256, 0.1
+ROUNDS, BATCH, RATE = 2, 512, 0.1  # the rounds share out all words: in each, every document trains on each ROUNDS-th
 CHUNK = 8192  # words scored at once
 UNIT = 1 << 20  # weights are averaged as whole multiples of 1/UNIT, so the sum has no order
 MEMO = 300_000
@@ -98,9 +97,8 @@ class Network:
         chance[np.arange(n), of] -= 1
         chance /= n
         back = (chance @ self.w.T) * (1 - h * h)
-        e = np.zeros_like(self.e)
-        for place in range(2 * SIDE):
-            np.add.at(e[place], around[:, place], back)
+        cells = ((around + np.arange(2 * SIDE) * (CLASSES + 1))[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+        e = np.bincount(cells, np.repeat(back, 2 * SIDE, axis=0).ravel(), self.e.size).astype(np.float32).reshape(self.e.shape)
         for k, g in (("e", e), ("b", back.sum(0)), ("w", h.T @ chance), ("c", chance.sum(0))):
             memory[k] += g * g
             getattr(self, k)[...] -= RATE * g / (np.sqrt(memory[k]) + 1e-6)
@@ -156,16 +154,17 @@ def _samples(batches, classes: Classes, step: int) -> Iterator[tuple[np.ndarray,
     for batch in batches:
         for text in batch.column(0).to_pylist():
             ids = classes.of(text)
-            first = (zlib.crc32(text[:64].encode()) + step * (STRIDE // ROUNDS)) % STRIDE
-            at = np.arange(first % max(1, min(STRIDE, len(ids))), len(ids), STRIDE) if len(ids) else np.empty(0, int)
+            at = np.arange((zlib.crc32(text[:64].encode()) + step) % ROUNDS, len(ids), ROUNDS)
             if not len(at):
                 continue
             arounds.append(windows(ids, at))
             ofs.append(ids[at])
             held += len(at)
             if held >= BATCH:
-                yield np.concatenate(arounds), np.concatenate(ofs)
-                arounds, ofs, held = [], [], 0
+                around, of = np.concatenate(arounds), np.concatenate(ofs)
+                whole = held - held % BATCH
+                yield from ((around[a : a + BATCH], of[a : a + BATCH]) for a in range(0, whole, BATCH))
+                arounds, ofs, held = [around[whole:]], [of[whole:]], held - whole
     if held:
         yield np.concatenate(arounds), np.concatenate(ofs)
 

@@ -159,6 +159,40 @@ def test_masked_lm_prefers_real_text(spark, documents):
     assert mean(real) >= mean(mixed) - 0.02
 
 
+def test_masked_lm_trains_on_every_word():
+    """The rounds together have every position as a target once, whatever the length of the text."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 1, 2, 3, 31, 700, 5000)]
+    classes = masked_lm.Classes([])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    steps = [list(masked_lm._samples(iter([batch]), classes, step)) for step in range(masked_lm.ROUNDS)]
+    got = np.concatenate([np.column_stack([around, of]) for step in steps for around, of in step])
+    ids = [classes.of(t) for t in texts]
+    want = np.concatenate([np.column_stack([masked_lm.windows(x), x]) for x in ids])
+    assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, want.tolist()))
+    assert max(len(of) for step in steps for _, of in step) <= masked_lm.BATCH
+
+
+def test_masked_lm_learns_order(spark):
+    """Real order beats shuffled order clearly where one word follows from the last."""
+    draw = random.Random(3)
+    follow = {i: draw.sample(range(40), 2) for i in range(40)}
+    rows = []
+    for i in range(200):
+        at, words = draw.randrange(40), []
+        for _ in range(300):
+            words.append(f"w{at}")
+            at = draw.choice(follow[at])
+        rows.append((i, " ".join(words)))
+    mixed = [(i, " ".join(draw.sample(t.split(), 300))) for i, t in rows[:40]]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string").coalesce(1)
+    model = masked_lm.fit(frame(rows[40:]))
+    mean = lambda r: sum(x["log_likelihood"] for x in masked_lm.score(frame(r), model).collect()) / (40 * 300)
+    assert mean(rows[:40]) > mean(mixed) + 0.5
+
+
 def test_masked_lm_scores_by_hand():
     """Scores in chunks equal scores word by word, and gradients equal differences."""
     import numpy as np
