@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from citeflow.llm.tables import text_or_empty, words
+from citeflow.llm.tables import Scratch, text_or_empty, words
 
 FREQUENT, BUCKETS = 192, 64  # words with a class of their own, and classes all others share by hash
 CLASSES = FREQUENT + BUCKETS
@@ -21,6 +23,7 @@ ROUNDS, BATCH, RATE = 2, 512, 0.1  # the rounds share out all words: in each, ev
 CHUNK = 8192  # words scored at once
 UNIT = 1 << 20  # weights are averaged as whole multiples of 1/UNIT, so the sum has no order
 MEMO = 300_000
+LISTED = 100_000  # counts of so many words go to every task
 
 SHAPES = {"e": (2 * SIDE, CLASSES + 1, WIDTH), "b": (WIDTH,), "w": (WIDTH, CLASSES), "c": (CLASSES,)}
 
@@ -112,10 +115,15 @@ def windows(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     return np.stack([padded[at + p] for p in places], axis=1)
 
 
-def frequencies(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words, counted over all documents, and the share of every class."""
+def counted(docs: DataFrame) -> DataFrame:
+    """``w, n``: every word of all documents and how often it is there."""
     lower = F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     counts = docs.select(F.explode(words(lower)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return Scratch(docs.sparkSession, "lm").write(counts, "words")
+
+
+def frequencies(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, counted over all documents, and the share of every class."""
     top = counts.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
     shares = np.full(CLASSES, 1.0)
     shares[: len(top)] += [r["n"] for r in top]
@@ -123,6 +131,17 @@ def frequencies(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [r["w"].encode() for r in top], shares / shares.sum()
 
 
+def bucket_sizes(counts: DataFrame, frequent: list[bytes]) -> np.ndarray:
+    """By bucket, the count of its words, each seen once more than it was, with one for a word never seen."""
+    own = [w.decode() for w in frequent]
+    rest = counts.where(~F.col("w").isin(own)) if own else counts
+    sums = rest.groupBy((F.crc32(F.col("w").cast("binary")) % BUCKETS).alias("b")).agg(F.sum(F.col("n") + 1).alias("n"))
+    sizes = np.ones(BUCKETS)
+    for r in sums.collect():
+        sizes[r["b"]] += r["n"]
+    return sizes
+
+
 def _trained(docs: DataFrame, frequent: list[bytes], start: np.ndarray, step: int) -> np.ndarray:
     """One round: every task trains on words of all its documents, and the tasks' weights are averaged by the words
     they saw. Each task sends its weights as rows, which are summed where they meet, never on the driver."""
@@ -173,17 +192,20 @@ def _samples(batches, classes: Classes, step: int) -> Iterator[tuple[np.ndarray,
 class Model:
     frequent: list[bytes]
     weights: np.ndarray
+    counts: DataFrame
+    sizes: np.ndarray
 
 
 def fit(docs: DataFrame) -> Model:
     """Train on all of ``docs(text)``. What the corpus sends grows with it: the counts of its words, and the weights of
     every task in every round."""
-    frequent, shares = frequencies(docs)
+    counts = counted(docs)
+    frequent, shares = frequencies(counts)
     texts = docs.select(text_or_empty().alias("_text"))
     weights = Network.fresh(shares).flat().astype(np.float64)
     for step in range(ROUNDS):
         weights = _trained(texts, frequent, weights, step)
-    return Model(frequent, weights)
+    return Model(frequent, weights, counts, bucket_sizes(counts, frequent))
 
 
 def _scores(texts: list[str], classes: Classes, net: Network) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +228,8 @@ def _scores(texts: list[str], classes: Classes, net: Network) -> tuple[np.ndarra
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood, per_token`` of every row of ``docs(doc_id, text, ...)``: the sum of each
-    word's log-probability given the words on both sides, and that by word.
+    """``doc_id, n_tokens, log_likelihood, per_token`` of every row of ``docs(doc_id, text, ...)``: the sum of the
+    log-probability of each word's class given the words on both sides, and that by word.
 
     Defined cases: a null, empty or blank text has no words, the sum 0 and no value by word. doc_id may be null or
     repeated. No rows give no rows. Other columns are not looked at.
@@ -227,6 +249,51 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.round(F.col("log_likelihood") / F.col("n_tokens"), 6)))
 
 
+def token_score(docs: DataFrame, model: Model) -> DataFrame:
+    """As ``score``, of the words themselves: to the log-probability of a word's class comes that of the word within its
+    bucket, by the counts of all documents. A word with a class of its own is its class.
+
+    Words are counted once more than they were seen, and a word never seen once. The counts of the most frequent words
+    go to every task; all other words meet theirs in a join.
+    """
+    spark = docs.sparkSession
+    listed = {r["w"].encode(): math.log(r["n"] + 1) for r in model.counts.orderBy(F.desc("n"), "w").limit(LISTED).collect()}
+    shared = spark.sparkContext.broadcast((model.frequent, model.weights, listed, np.log(model.sizes)))
+    frame = docs.select("doc_id", text_or_empty().alias("_text"))
+    schema = frame.drop("_text").schema.add("n_tokens", "long").add("_sum", "double").add("_rest", ArrayType(StringType()))
+
+    def per_part(batches):
+        named, flat, known, sizes = shared.value
+        classes, net = Classes(named), Network.of(flat)
+        own = set(named)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            lengths, sums = _scores(texts, classes, net)
+            rests = []
+            for i, text in enumerate(texts):
+                rest = []
+                for w in text.encode().lower().split():
+                    if w not in own:
+                        sums[i] -= sizes[classes[w] - FREQUENT]
+                        if w in known:
+                            sums[i] += known[w]
+                        else:
+                            rest.append(w.decode())
+                rests.append(rest)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lengths), pa.array(sums), pa.array(rests, pa.list_(pa.string()))], names=schema.names
+            )
+
+    # Written once: the row numbers are fixed from here on.
+    scored = frame.mapInArrow(per_part, schema).withColumn("_row", F.monotonically_increasing_id())
+    scored = Scratch(spark, "lm").write(scored, "scored")
+    rest = scored.select("_row", F.explode("_rest").alias("w")).join(model.counts, "w")
+    more = rest.groupBy("_row").agg(F.sum(F.log(F.col("n") + 1)).alias("_more"))
+    total = F.round(F.col("_sum") + F.coalesce("_more", F.lit(0.0)), 3)
+    found = scored.drop("_rest").join(more, "_row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return found.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.round(F.col("log_likelihood") / F.col("n_tokens"), 6)))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, fit(docs))
+    return token_score(docs, fit(docs))

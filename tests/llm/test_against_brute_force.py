@@ -193,6 +193,35 @@ def test_masked_lm_learns_order(spark):
     assert mean(rows[:40]) > mean(mixed) + 0.5
 
 
+@pytest.mark.parametrize("listed", [1, 100_000])
+def test_masked_lm_scores_words_within_their_bucket(spark, monkeypatch, listed):
+    """A word's own chance counts: by its counts, whether they are sent to every task or joined."""
+    import zlib
+
+    monkeypatch.setattr(masked_lm, "LISTED", listed)
+    common = [f"c{i}" for i in range(masked_lm.FREQUENT)]
+    alike = [w for w in (f"r{i}" for i in range(2000)) if zlib.crc32(w.encode()) % masked_lm.BUCKETS == 5][:3]
+    rows = [(0, " ".join(common * 60))] + [(1 + i, f"c1 c2 {w} c3 c4") for w, n in zip(alike, (49, 4), strict=False) for i in range(n)]
+    model = masked_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = spark.createDataFrame([(i, f"c1 c2 {w} c3 c4") for i, w in enumerate([*alike, "c9"])] + [(4, None)], "doc_id long, text string")
+    whole, classes = by_id(masked_lm.token_score(asked, model)), by_id(masked_lm.score(asked, model))
+    assert len(whole) == 5 and whole[4]["log_likelihood"] == 0 and whole[4]["per_token"] is None
+    size = 49 + 4 + 2 + 1  # both known words once more, and one never seen
+    for i, n in enumerate((49, 4, 0)):
+        assert whole[i]["log_likelihood"] - classes[i]["log_likelihood"] == pytest.approx(math.log((n + 1) / size), abs=2e-3)
+    assert whole[3] == classes[3]
+
+
+def test_lm_scoring_query(spark, sf, plain_rows):
+    """op4 scores words, not only their classes: no more than the class allows, in every document."""
+    got = by_id(masked_lm.op4(spark, sf))
+    assert len(got) == len(plain_rows)
+    counts = Counter(w for _, t, _ in plain_rows for w in t.lower().split())
+    total = sum(r["log_likelihood"] for r in got.values()) / sum(r["n_tokens"] for r in got.values())
+    unigram = sum(n * math.log(n / sum(counts.values())) for n in counts.values()) / sum(counts.values())
+    assert unigram - 1 < total < unigram + 1.5
+
+
 def test_masked_lm_scores_by_hand():
     """Scores in chunks equal scores word by word, and gradients equal differences."""
     import numpy as np
