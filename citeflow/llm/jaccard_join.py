@@ -32,6 +32,8 @@ HEAVY_FROM, HEAVY_LIST = 4, 2_000_000
 # Bytes of text hashed at once in a task.
 SLICE_BYTES = 1 << 21
 FANOUT = 8
+# Groups of more rows are compared as pairs of blocks of about so many, each pair a group of its own.
+BLOCK = 8192
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -419,7 +421,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     ).where("hub < last")
     # Groups of the same documents are one group.
     groups = seen.groupBy("c", "hub", "last", "x").agg(F.min("h").alias("h"), F.count("*").alias("w"))
-    members = scratch.write(shared.join(groups.select("h", "hub", "w"), "h"), "members")
+    members = scratch.write(shared.join(groups.select("h", "hub", "w", "c"), "h"), "members")
 
     # First the groups' least rows: each row is compared with the one it meets in most groups. That
     # joins nearly all of a large cluster without comparing its members with each other.
@@ -431,13 +433,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
     # Then, completely: all groups that still hold documents of several components.
     rooted = members.join(found.withColumnRenamed("node", "row"), "row", "left").select(
-        "h", "row", F.coalesce("component", "row").alias("root")
+        "h", "c", "row", F.coalesce("component", "row").alias("root")
     )
     mixed = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
     # Sizes of linked sets differ by at most a quarter: a band meets itself and the next one.
     band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
     open_rows = (
-        rooted.join(mixed.select("h"), "h", "left_semi")
+        _blocks(rooted.join(mixed.select("h"), "h", "left_semi"))
         .join(heads.select("row", "n", "mask"), "row")
         .withColumn("band", band)
         .withColumn("part", F.explode(F.array(F.col("band") - 1, F.col("band"))))
@@ -462,6 +464,18 @@ def _grouped(docs: DataFrame) -> DataFrame:
     )
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows(h, c, row, ...)`` with groups of more than BLOCK rows (``c``) split: any two rows of a group still meet in one,
+    which is named by another ``h`` for every two blocks and holds about two blocks of rows."""
+    k = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("row"), F.col("_k")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: j != F.col("_own"))
+    names = F.transform(others, lambda j: F.xxhash64("h", F.least(j, "_own"), F.greatest(j, "_own")))
+    split = rows.withColumn("_k", k).withColumn("_own", own)
+    split = split.withColumn("h", F.explode(F.when(F.col("_k") > 1, names).otherwise(F.array("h"))))
+    return split.drop("_k", "_own", "c")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that with the least doc_id (null
     last; ties by the row's key). Documents without links stay, those without words included."""

@@ -323,6 +323,31 @@ def test_jaccard_join(spark, sf, plain_rows):
         assert (got[i]["n_shingles"], got[i]["component_id"]) == (len(sets[k]), plain_rows[roots[k]][0])
 
 
+def test_large_groups_of_the_join_are_dealt_out(spark, monkeypatch):
+    """No group goes to the walk whole; any two of its rows still meet, and the result is the same."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    rows = spark.createDataFrame([(h, n, i) for h, n in ((1, 200), (2, 21), (3, 20), (4, 2)) for i in range(n)], "h long, c long, row long")
+    groups = defaultdict(set)
+    for r in jaccard_join._blocks(rows.withColumn("of", F.col("h"))).collect():
+        groups[r["of"], r["h"]].add(r["row"])
+    assert max(map(len, groups.values())) <= 4 * 20
+    for of, n in ((1, 200), (2, 21), (3, 20), (4, 2)):
+        met = {(a, b) for (h, _), g in groups.items() if h == of for a in g for b in g if a < b}
+        assert len(met) == n * (n - 1) // 2
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    draw = random.Random(8)
+    passage = [f"p{i}" for i in range(170)]
+    texts = []
+    for _ in range(30):
+        own = [f"o{draw.random()}" for _ in range(20)]
+        texts += [" ".join(passage + own + [f"v{draw.random()}" for _ in range(10)]) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs).collect()}
+    want = plain.similar_groups([plain.word_shingles(t) for t in texts])
+    assert got == dict(enumerate(want))
+
+
 def test_jaccard_join_of_chained_and_crowded_texts(spark):
     """A chain of documents, each like the next only; a passage that all share; a group of near copies."""
     import random
