@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from citeflow.llm.alignment import op13
 from citeflow.llm.bpe import op7
 from citeflow.llm.jaccard_join import op8
+from citeflow.llm.licences import op12
+from citeflow.llm.licences import sql as licence_sql
 from citeflow.llm.line_dedup import op2
 from citeflow.llm.masked_lm import op4
 from citeflow.llm.mixing import op1
@@ -13,6 +16,7 @@ from citeflow.llm.syncmers import op6
 from citeflow.llm.token_counts import op9
 from citeflow.llm.warc_zip import SQL as WARC_SQL
 from citeflow.llm.warc_zip import op10
+from citeflow.llm.whitening import op11
 
 QUERIES = {
     "op1_mixing": op1,
@@ -25,6 +29,9 @@ QUERIES = {
     "op8_jaccard_join": op8,
     "op9_token_counts": op9,
     "op10_warc": op10,
+    "op11_whitening": op11,
+    "op12_licence_scan": op12,
+    "op13_alignment": op13,
 }
 
 JACCARD_SQL = r"""
@@ -53,4 +60,4 @@ SELECT d.doc_id, CAST(coalesce(max(n.k), 0) AS BIGINT) AS n_shingles, min(r.othe
 FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE_SQL = {"op8_jaccard_join": JACCARD_SQL, "op10_warc": WARC_SQL}
+ORACLE_SQL = {"op8_jaccard_join": JACCARD_SQL, "op10_warc": WARC_SQL, "op12_licence_scan": licence_sql()}
