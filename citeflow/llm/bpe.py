@@ -7,14 +7,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeflow.llm.pretokens import END, Vocabulary, default_path, vocabulary
-from citeflow.llm.tables import text_or_empty
 
-MEMO = 250_000  # words a worker remembers; the memo only saves time
+# Bytes of words and of fragments a worker remembers; the memos only save time.
+WORD_MEMO, FRAGMENT_MEMO = 40 << 20, 8 << 20
+SLICE_BYTES = 1 << 20  # text whose ids and decoded texts are held at once; a longer text is a slice of its own
 
 
 class Splitter:
@@ -35,8 +37,9 @@ class Splitter:
             if closed and pairs:
                 self.final.add(pairs.pop())
             self.inner.update(pairs)
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.word_bytes = self.fragment_bytes = 0
 
     def pieces(self, letters: str) -> list[str]:
         """Fragments of a word between forced boundaries."""
@@ -53,38 +56,45 @@ class Splitter:
         if found is None:
             atoms = (*letters[:-1], letters[-1] + END) if ends_word else tuple(letters)
             found = tuple(self.vocab.ids[t] for t in self.vocab.merged(atoms))
-            if len(self.fragments) >= MEMO:
-                self.fragments.clear()
+            self.fragment_bytes += 300 + len(letters) + 40 * len(found)
+            if self.fragment_bytes > FRAGMENT_MEMO:
+                self.fragments, self.fragment_bytes = {}, 0
             self.fragments[key] = found
         return found
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a word, and its tokens one after the other."""
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Ids of a word, 32 bits each, and its tokens one after the other."""
         found = self.words.get(word)
         if found is None:
             parts = self.pieces(self.vocab.letters(word))
             ids = tuple(chain.from_iterable(self.fragment(p, i == len(parts) - 1) for i, p in enumerate(parts)))
-            found = (ids, " ".join(self.vocab.names[i] for i in ids))
-            if len(self.words) >= MEMO:
-                self.words.clear()
+            found = (np.array(ids, np.int32).tobytes(), " ".join([self.vocab.names[i] for i in ids]))
+            self.word_bytes += 300 + 4 * len(word) + len(found[0]) + len(found[1])
+            if self.word_bytes > WORD_MEMO:
+                self.words, self.word_bytes = {}, 0
             self.words[word] = found
         return found
 
     def text(self, text: str) -> tuple[list[int], str]:
+        ids, shown = self.coded(text)
+        return ids.tolist(), shown
+
+    def coded(self, text: str) -> tuple[np.ndarray, str]:
         """Ids of a text, and the text they decode to: the file names no decoder, so the tokens come with a space
         between them."""
-        known, word = self.words.get, self.word
-        ids: list[int] = []
+        word = self.word
+        ids: list[bytes] = []
         shown: list[str] = []
         for i, segment in enumerate(self.vocab.segments(text)):
             if i % 2:
-                ids.append(self.vocab.special[segment])
+                ids.append(np.int32(self.vocab.special[segment]).tobytes())
                 shown.append(segment)
                 continue
+            known = self.words.get
             found = [known(w) or word(w) for w in self.vocab.cut(self.vocab.normal(segment))]
-            ids.extend(chain.from_iterable([f[0] for f in found]))
+            ids.extend([f[0] for f in found])
             shown.extend([f[1] for f in found])
-        return ids, " ".join(shown)
+        return np.frombuffer(b"".join(ids), np.int32), " ".join(shown)
 
 
 @lru_cache(maxsize=4)
@@ -100,24 +110,30 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or default_path()
     kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    # The columns travel as one struct, whatever they are called.
-    frame = docs.select(F.struct(*kept).alias("row"), text_or_empty().alias("text"))
-    schema = frame.drop("text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    at = [c.lower() for c in kept].index("text")
+    # The columns travel as one struct, whatever they are called, and the text only inside it.
+    frame = docs.select(F.struct(*kept).alias("row"))
+    schema = frame.schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
-    def per_batch(batches):
-        encode = splitter(path).text
+    def per_task(batches):
+        encode = splitter(path).coded
         for batch in batches:
-            lists, texts = [], []
-            for text in batch.column(1).to_pylist():
-                ids, shown = encode(text)
-                lists.append(np.array(ids, np.int32))
-                texts.append(shown)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=schema.names)
-
-    return frame.mapInArrow(per_batch, schema).select("row.*", "ids", "decoded")
+            column = batch.column(0)
+            texts = column.field(at)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            begin = 0
+            while begin < len(texts):
+                done = ends[begin - 1] if begin else 0
+                size = max(1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")) - begin)
+                found = [encode(t or "") for t in texts.slice(begin, size).to_pylist()]
+                bounds = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in found])])
+                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([f[0] for f in found])))
+                yield pa.RecordBatch.from_arrays(
+                    [column.slice(begin, size), ids, pa.array([f[1] for f in found], pa.string())], names=schema.names
+                )
+                begin += size
+
+    return frame.mapInArrow(per_task, schema).select("row.*", "ids", "decoded")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
