@@ -113,7 +113,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     at = [c.lower() for c in kept].index("text")
     # The columns travel as one struct, whatever they are called, and the text only inside it.
     frame = docs.select(F.struct(*kept).alias("row"))
-    schema = frame.schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    schema = docs.select(F.struct(*kept).alias("row")).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def per_task(batches):
         encode = splitter(path).coded
