@@ -31,12 +31,11 @@ def questions(spark, sf) -> DataFrame:
     )
 
 
-def corpus_vectors(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"))
-    vectors = table(spark, sf, "embeddings").select(
+def stored_vectors(spark, sf) -> DataFrame:
+    """Every row of the table of stored vectors is a chunk."""
+    return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")
     )
-    return docs.join(vectors, "chunk_id")
 
 
 def question_vectors(spark, sf) -> DataFrame:

@@ -121,7 +121,7 @@ def ranked(scored: str, k: int) -> str:
 def semantic(k: int, qvectors: tuple[str, str] = QVECTORS) -> list[tuple[str, str]]:
     return [
         qvectors,
-        ("cv", "SELECT doc_id AS chunk_id, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id"),
+        ("cv", "SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings"),
         (
             "ss",
             "SELECT qid, chunk_id, CAST(list_dot_product(cv.v, qv.v) AS DECIMAL(18,9)) AS s FROM cv, qv",
@@ -164,9 +164,10 @@ def semantic_text(k: int, questions: str = "questions", text: str = "question")
 
 
 KW = [CORPUS, QUESTIONS, *keyword(K)]
-SEM = [CORPUS, *semantic(K)]
-BOTH = [CORPUS, QUESTIONS, *keyword(K), *semantic(K)]
-BOTH2 = [CORPUS, QUESTIONS, *keyword(2 * K), *semantic(2 * K)]
+SEM = [CORPUS, QUESTIONS, *semantic_text(K)]
+STORED = semantic(K)
+BOTH = [CORPUS, QUESTIONS, *keyword(K), *semantic_text(K)]
+BOTH2 = [CORPUS, QUESTIONS, *keyword(2 * K), *semantic_text(2 * K)]
 HIT = "qid, rank, round(score::DOUBLE, 6) AS score, chunk_id"
 LEGS = (
     "legs",
@@ -639,6 +640,7 @@ ORACLE_SQL = {
     ),
     "keyword_search": query(f"SELECT {HIT} FROM kw", *KW),
     "keyword_search_indexed": query(f"SELECT {HIT} FROM kw", *KW),
+    "keyword_search_segments": query(f"SELECT {HIT} FROM kw", *KW),
     "semantic_search": query(f"SELECT {HIT} FROM sem", *SEM),
     "default_search": query(f"SELECT {HIT} FROM sem", *SEM),
     "hybrid_first_seen": query(f"SELECT {HIT}, leg, chunk FROM merged", *BOTH, *first_seen(K)),
@@ -781,8 +783,9 @@ ORACLE_SQL = {
     "answer_bot_indexed": query("SELECT *, response AS shown FROM told", *BOT),
     "answer_bot_fallback": query("SELECT *, response AS shown FROM told", *BOT),
     "answer_bot_default": query("SELECT *, response AS shown FROM told", *BOT_DEFAULT),
-    "semantic_text_search": query(f"SELECT {HIT} FROM sem", CORPUS, QUESTIONS, *semantic_text(K)),
-    "semantic_search_ann": query(f"SELECT {HIT} FROM sem", *SEM),
+    "semantic_text_search": query(f"SELECT {HIT} FROM sem", *SEM),
+    "semantic_search_ann": query(f"SELECT {HIT} FROM sem", *STORED),
+    "semantic_search_stored": query(f"SELECT {HIT} FROM sem", *STORED),
     "embed_text": query(
         "SELECT chunk_id, dim::INTEGER AS dim, round(w, 6) AS weight FROM ev WHERE round(w, 6) <> 0",
         CORPUS,

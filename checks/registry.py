@@ -10,12 +10,14 @@ from citeflow.functions import markup
 from citeflow.operators import completion, context, history, prompts, rendering, sessions
 from citeflow.operators import index as ix
 from citeflow.operators import retrieval as rt
-from citeflow.operators.embedding import embed_text, fit_embedder, text_search
+from citeflow.operators import vector_index as vx
+from citeflow.operators.embedding import embed_text, fit_embedder, search, text_search
 from citeflow.plans import answering
 from citeflow.session import scratch_folder, written
 from citeflow.settings import Settings
 from citeflow.sources import corpus as corp
 from citeflow.sources import logs, statements, transcript
+from citeflow.sources.chunk_store import read_chunk_store, write_chunk_store
 from citeflow.streaming import answering as answering_stream
 from citeflow.streaming import channels
 
@@ -61,13 +63,27 @@ def keyword_hits(spark, sf, k=K):
 
 
 def semantic_hits(spark, sf, k=K):
-    return rt.semantic_search(I.corpus_vectors(spark, sf), I.question_vectors(spark, sf), k)
+    """Benchmark questions by the meaning of their texts, over all documents."""
+    return text_search(I.corpus(spark, sf), I.questions(spark, sf), k)
+
+
+def stored_corpus(spark, sf):
+    """All documents as a chunk store."""
+    path, corpus = scratch_folder(spark, "chunks"), I.corpus(spark, sf)
+    write_chunk_store(corpus, path)
+    return read_chunk_store(spark, path, corpus.schema)
+
+
+def stored_index(spark, sf):
+    path = scratch_folder(spark, "index")
+    ix.write_term_index(I.corpus(spark, sf), path)
+    return ix.read_term_index(spark, path)
 
 
 def search_projection(spark, sf):
     hits = written(keyword_hits(spark, sf), "hits")
     return rounded(
-        rt.search_projection(hits, I.corpus(spark, sf), ["document_title", "source_url"]),
+        rt.search_projection(hits, stored_corpus(spark, sf), ["document_title", "source_url"]),
         "document_title",
         "source_url",
     )
@@ -158,11 +174,18 @@ def keyword_search(spark, sf):
 
 
 def keyword_search_indexed(spark, sf):
-    path = scratch_folder(spark, "index")
-    ix.write_term_index(I.corpus(spark, sf), path)
-    return rounded(
-        rt.keyword_search_indexed(ix.read_term_index(spark, path), I.questions(spark, sf), K)
-    )
+    return rounded(rt.keyword_search_indexed(stored_index(spark, sf), I.questions(spark, sf), K))
+
+
+def keyword_search_segments(spark, sf):
+    """As the search over one segment: half of the documents are appended, and the segments merged."""
+    corpus, path = I.corpus(spark, sf), scratch_folder(spark, "index")
+    late = F.col("chunk_id") % 2 == 1
+    ix.write_term_index(corpus.where(~late), path)
+    ix.append_term_index(corpus.where(late), path)
+    ix.merge_term_index(spark, path)
+    ix.drop_old_segments(spark, path)
+    return rounded(rt.keyword_search_indexed(ix.read_term_index(spark, path), I.questions(spark, sf), K))
 
 
 def semantic_search(spark, sf):
@@ -170,12 +193,7 @@ def semantic_search(spark, sf):
 
 
 def default_search(spark, sf):
-    return rounded(
-        rt.search(
-            None, I.corpus(spark, sf), I.questions(spark, sf), I.corpus_vectors(spark, sf),
-            I.question_vectors(spark, sf), K,
-        )
-    )
+    return rounded(search(None, I.corpus(spark, sf), I.questions(spark, sf), K))
 
 
 def both_legs(spark, sf, k):
@@ -233,14 +251,21 @@ def embedding(spark, sf):
 
 
 def semantic_text_search(spark, sf):
-    """Benchmark questions by the meaning of their texts, over all documents."""
-    return rounded(text_search(I.corpus(spark, sf), I.questions(spark, sf), K))
+    """One model for corpus and questions, kept and used again."""
+    corpus = I.corpus(spark, sf)
+    return rounded(text_search(corpus, I.questions(spark, sf), K, fit_embedder(corpus)))
 
 
 def semantic_search_ann(spark, sf):
-    return rounded(
-        rt.semantic_search_ann(I.corpus_vectors(spark, sf), I.question_vectors(spark, sf), K)
-    )
+    """Stored vectors in cells cut by hyperplanes, every cell probed."""
+    return rounded(rt.semantic_search_ann(I.stored_vectors(spark, sf), I.question_vectors(spark, sf), K))
+
+
+def semantic_search_stored(spark, sf):
+    """All stored vectors through the vector index, searched until no cell can hold a better one."""
+    path = scratch_folder(spark, "vectors")
+    vx.write_vector_index(I.stored_vectors(spark, sf), path)
+    return rounded(vx.search(vx.read_vector_index(spark, path), I.question_vectors(spark, sf), K, exact=True))
 
 
 # --- context, history, prompts ---------------------------------------------------------------
@@ -560,13 +585,10 @@ def answer_bot_fallback(spark, sf):
 
 
 def answer_bot_indexed(spark, sf):
-    """Answers over the stored term index."""
-    corpus = I.corpus(spark, sf)
-    path = scratch_folder(spark, "index")
-    ix.write_term_index(corpus, path)
-    index = ix.read_term_index(spark, path)
+    """Answers over the stored term index and the chunk store."""
+    index = stored_index(spark, sf)
     told = answering.answer_bot(
-        I.questions(spark, sf), corpus, lambda q, k: rt.keyword_search_indexed(index, q, k), Settings()
+        I.questions(spark, sf), stored_corpus(spark, sf), lambda q, k: rt.keyword_search_indexed(index, q, k), Settings()
     )
     return told.withColumn("citations", F.to_json("citations"))
 
@@ -591,14 +613,12 @@ def user_messages(conversations: DataFrame) -> DataFrame:
 
 
 def answer_stream(spark, sf):
-    corpus = I.corpus(spark, sf)
-    path = scratch_folder(spark, "index")
-    ix.write_term_index(corpus, path)
-    index = ix.read_term_index(spark, path)
+    """As `answer_bot_indexed`, for a stream of messages."""
+    index = stored_index(spark, sf)
     schema = I.table(spark, sf, "conversations").schema
     events = user_messages(channels.read_events(spark, f"{sf}/conversation[s].parquet", schema))
     told, _ = answering_stream.answer_stream(
-        events, corpus, lambda q, k: rt.keyword_search_indexed(index, q, k), Settings()
+        events, stored_corpus(spark, sf), lambda q, k: rt.keyword_search_indexed(index, q, k), Settings()
     )
     return told.select("conv_id", "turn", "role", "content")
 
@@ -609,9 +629,10 @@ QUERIES = {
         corpus_catalog, corpus_select, search_projection, content_fallback, log_tail,
         log_tail_by_source, log_tail_overall, piped_query, like_filter_concat, result_scan,
         bound_parameters, transcript_append, corpus_from_pages, chunk_documents,
-        keyword_search, keyword_search_indexed, semantic_search, default_search,
+        keyword_search, keyword_search_indexed, keyword_search_segments, semantic_search, default_search,
         hybrid_first_seen, hybrid_boosted, hybrid_boosted_raw, dedupe_by_text, top_k_per_query,
         union_all_ranked, postings, term_stats, corpus_stats, semantic_search_ann,
+        semantic_search_stored,
         context_web, context_bot, citations_by_url, url_default,
         history_window, strip_citations, history_render, query_route, query_rewrite_prompt,
         question_normalize, prompt_web, complete, model_select, response_or_apology,

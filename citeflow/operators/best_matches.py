@@ -151,74 +151,93 @@ def cell_scorer(
     return run
 
 
-def question_blocks(offsets: np.ndarray, terms: np.ndarray, max_terms=8192, max_questions=256):
-    """Cut questions into runs ``[first, end)`` of bounded size."""
-    first, n = 0, len(offsets) - 1
-    while first < n:
-        end = first + 1
-        while (
-            end < n
-            and end - first < max_questions
-            and offsets[end + 1] - offsets[first] <= max_terms
-        ):
-            end += 1
-        yield first, end
-        first = end
-
-
-def term_scorer(
-    qids: np.ndarray,
-    offsets: np.ndarray,
-    terms: np.ndarray,
-    idf: np.ndarray,
-    mean_length: float,
-    k: int,
-    k1: float,
-    b: float,
-    floor=None,
-):
-    """Scores ``(chunk_id, length, term ids, term counts)`` batches by BM25.
+class TermScores:
+    """Sums BM25 weights of matching terms. Questions are an inverted list from term to questions, so only entries whose term
+    a question asks for cost anything."""
+
+    def __init__(self, qids, offsets, terms, idf, mean_length, k, k1, b, floor=None):
+        self.qids, self.idf, self.mean_length, self.k1, self.b = qids, idf, mean_length, k1, b
+        order = np.argsort(terms, kind="stable")
+        self.owner = np.repeat(np.arange(len(qids)), np.diff(offsets))[order]
+        self.ptr = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.best = BestMatches(len(qids), k, floor)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> None:
+        """Entries of documents: ``doc`` numbers ``ids`` and does not fall; ``lengths`` are of the documents."""
+        n = len(self.qids)
+        norm = self.k1 * (1 - self.b + self.b * lengths.astype(np.float64) / self.mean_length)
+        weight = np.rint(self.idf[term] * (tf * (self.k1 + 1) / (tf + norm[doc])) * UNITS)
+        pairs = np.concatenate([[0], np.cumsum(self.ptr[term + 1] - self.ptr[term])])
+        step = max(1, BLOCK_CELLS // max(n, 1))
+        for d in range(0, len(ids), step):
+            stop = min(d + step, len(ids))
+            first, end = np.searchsorted(doc, [d, stop])
+            scores = np.zeros((stop - d) * n)
+            hits = np.zeros((stop - d) * n, bool)
+            while first < end:
+                last = min(end, max(first + 1, int(np.searchsorted(pairs, pairs[first] + BLOCK_CELLS, "right")) - 1))
+                each = np.diff(pairs[first : last + 1])
+                place = np.repeat(self.ptr[term[first:last]] - (pairs[first:last] - pairs[first]), each) + np.arange(
+                    pairs[last] - pairs[first]
+                )
+                cell = np.repeat((doc[first:last] - d) * n, each) + self.owner[place]
+                scores += np.bincount(cell, np.repeat(weight[first:last], each), len(scores))
+                # a weight can round to nothing only on huge corpora; such documents still match
+                hits[cell] = True
+                first = last
+            shape = (stop - d, n)
+            self.best.offer(ids[d:stop], scores.reshape(shape), np.arange(n), hits.reshape(shape))
 
-    ``terms[offsets[i]:offsets[i+1]]`` are the distinct term ids of question ``i``.
-    """
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        return self.best.rows(self.qids)
+
+
+def term_scorer(*state):
+    """Scores ``(chunk_id, length, term ids, term counts)`` batches by BM25; ``state`` is that of `TermScores`, in which
+    ``terms[offsets[i]:offsets[i+1]]`` are the distinct term ids of question ``i``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestMatches(len(qids), k, floor)
-        blocks = list(question_blocks(offsets, terms))
+        scores = TermScores(*state)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            length = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             term, per_doc = flat_lists(batch.column(2))
             tf, _ = flat_lists(batch.column(3))
             doc = np.repeat(np.arange(len(ids)), per_doc)
-            norm = k1 * (1 - b + b * length / mean_length)
-            weight = np.rint(idf[term] * (tf * (k1 + 1) / (tf + norm[doc])) * UNITS)
-            starts = np.concatenate([[0], np.cumsum(per_doc)])
-            # a weight can round to nothing only on huge corpora; such documents still match
-            by_count = bool((weight == 0).any())
-            for first, end in blocks:
-                asked = terms[offsets[first] : offsets[end]]
-                known, local = np.unique(asked, return_inverse=True)
-                pick = np.zeros((len(known), end - first))
-                owner = np.repeat(
-                    np.arange(end - first), np.diff(offsets[first : end + 1]).astype(np.int64)
-                )
-                pick[local, owner] = 1.0
-                d_step = max(1, BLOCK_CELLS // max(len(known), end - first))
-                for d in range(0, len(ids), d_step):
-                    stop = min(d + d_step, len(ids))
-                    part = slice(starts[d], starts[stop])
-                    place = np.searchsorted(known, term[part])
-                    place[place == len(known)] = 0
-                    hit = known[place] == term[part]
-                    block = np.zeros((stop - d, len(known)))
-                    block[doc[part][hit] - d, place[hit]] = weight[part][hit]
-                    scores = block @ pick
-                    matched = scores > 0
-                    if by_count:
-                        block[doc[part][hit] - d, place[hit]] = 1.0
-                        matched = (block @ pick) > 0
-                    best.offer(ids[d:stop], scores, np.arange(first, end), matched)
-        yield from best.rows(qids)
+            scores.add(ids, batch.column(1).to_numpy(zero_copy_only=False), doc, term.astype(np.int64), tf)
+        yield from scores.rows()
+
+    return run
+
+
+def range_scorer(*state):
+    """As `term_scorer`, over postings ``(range, term, chunk ids, term counts, lengths)`` in order of ranges: the postings of a
+    range are turned into its documents, whatever batches they come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, held, at = TermScores(*state), [], None
+
+        def score() -> None:
+            term, ids, tf, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            known, first, doc = np.unique(ids, return_index=True, return_inverse=True)
+            order = np.argsort(doc, kind="stable")
+            scores.add(known, lengths[first], doc[order], term[order], tf[order].astype(np.float64))
+            held.clear()
+
+        for batch in batches:
+            ranges = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ranges)) + 1, [len(ranges)]])
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a == z:
+                    continue
+                if held and ranges[a] != at:
+                    score()
+                at = ranges[a]
+                part = batch.slice(a, z - a)
+                ids, each = flat_lists(part.column(2))
+                term = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(np.int64), each)
+                held.append((term, ids, flat_lists(part.column(3))[0], flat_lists(part.column(4))[0]))
+        if held:
+            score()
+        yield from scores.rows()
 
     return run

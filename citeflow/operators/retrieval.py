@@ -10,14 +10,15 @@ import math
 from decimal import Decimal
 
 import numpy as np
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeflow.functions.text import tokens
-from citeflow.operators.best_matches import OUTPUT, cell_scorer, term_scorer, vector_scorer
+from citeflow.operators.best_matches import OUTPUT, cell_scorer, range_scorer, term_scorer, vector_scorer
 from citeflow.session import scratch_folder, written
 from citeflow.sizes import BROADCAST_IDS, BROADCAST_ROWS, broadcast_if_small
+from citeflow.sources.chunk_store import ChunkStore
 
 SCORE = "decimal(18,9)"
 K1 = 1.2
@@ -49,14 +50,13 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return top.select("qid", "rank", score.alias("score"), "chunk_id")
 
 
-def _in_blocks(asked: DataFrame, entries: int, block_entries: int, run) -> DataFrame:
-    """Answer questions block by block: ``run(block)`` gives a block's ranked hits, which are appended to one stored
-    table before the next block begins, so neither plans nor broadcasts pile up. Any number of blocks, also a single
-    one, takes this path."""
+def _in_blocks(asked: DataFrame, n: int, run) -> DataFrame:
+    """Answer questions in ``n`` blocks: ``run(block, store)`` gives a block's ranked hits to ``store``, which appends
+    them to one table before the next block begins, so neither plans nor broadcasts pile up. Any number of blocks, also a
+    single one, takes this path."""
     spark = asked.sparkSession
     path = scratch_folder(spark, "hits")
     _no_hits(spark).write.parquet(path)
-    n = math.ceil(entries / block_entries)
     for i in range(n):
         part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)
         run(part, lambda hits: hits.write.mode("append").parquet(path))
@@ -92,66 +92,72 @@ def keyword_search(
 ) -> DataFrame:
     """Best ``k`` chunks per question by BM25 over ``(qid, question)``.
 
-    A block's vocabulary is counted inside the rows of the corpus, so the corpus is tokenised once a block and
-    never shuffled: what is written is one compact row per chunk.
+    The corpus is tokenised once, whatever the number of blocks, and never shuffled. A block's vocabulary is
+    counted inside the rows of the corpus: what is written is one compact row per chunk.
     """
+    held = corpus.select("chunk_id", tokens(F.col(text)).alias("tokens"))
+    asked, blocks = _asked_tokens(questions, block_entries)
+    if blocks > 1:
+        held = written(held, "tokens")
 
-    def features(model):
-        counted = model.transform(corpus.select("chunk_id", tokens(F.col(text)).alias("tokens")))
-        slim = counted.select("chunk_id", F.size("tokens").alias("length"), "terms")
-        return _written_counts(slim)
+    def run(block, store):
+        if found := _question_terms(block):
+            _keyword_block(held, *found, k, k1, b, store)
 
-    return _keyword(questions, features, None, k, k1, b, block_entries)
+    return _in_blocks(asked, blocks, run)
 
 
 def keyword_search_indexed(
     index, questions: DataFrame, k: int, k1: float = K1, b: float = B, block_entries: int = BLOCK_ENTRIES
 ) -> DataFrame:
-    """As `keyword_search`, over a stored term index: reads only the buckets of asked tokens."""
-
-    def features(model):
-        spark = questions.sparkSession
-        ids = spark.createDataFrame(list(enumerate(model.vocabulary)), "term int, token string")
-        return written(index.counts(broadcast_if_small(ids)), "counts")
-
-    return _keyword(questions, features, index.size(), k, k1, b, block_entries)
+    """As `keyword_search`, over a stored term index: reads only the buckets and token ranges of asked tokens, and scores
+    only ranges of chunks that can still hold one of a question's best ``k`` (see `index.TermIndex.open_ranges`)."""
+    asked, blocks = _asked_tokens(questions, block_entries)
+    n_docs, total_length = index.size()
 
+    def run(block, store):
+        if total_length and (found := _question_terms(block)):
+            _indexed_block(index, n_docs, total_length / n_docs, *found, k, k1, b, store)
 
-def _written_counts(counted: DataFrame) -> DataFrame:
-    """Write the sparse counts and read them back as plain arrays, which Arrow can carry."""
-    spark = counted.sparkSession
-    path = scratch_folder(spark, "counts")
-    counted.write.parquet(path)
-    vector = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
-    stored = spark.read.schema(f"chunk_id bigint, length int, terms {vector}").parquet(path)
-    return stored.select(
-        "chunk_id",
-        "length",
-        F.col("terms.indices").alias("term_ids"),
-        F.col("terms.values").alias("term_counts"),
-    )
+    return _in_blocks(asked, blocks, run)
 
 
-def _keyword(questions, features, size, k, k1, b, block_entries) -> DataFrame:
+def _asked_tokens(questions: DataFrame, block_entries: int) -> tuple[DataFrame, int]:
+    """``(qid, tokens)`` with distinct tokens, and the number of blocks they are asked in."""
     asked = questions.select("qid", F.array_distinct(tokens(F.col("question"))).alias("tokens"))
     entries = asked.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    return asked, math.ceil(entries / block_entries)
 
-    def run(block, store):
-        _keyword_block(block, features, size, k, k1, b, store)
 
-    return _in_blocks(asked, entries, block_entries, run)
+def _question_terms(block: DataFrame):
+    """A block on the driver: question ids, where each one's terms begin, their terms, and the vocabulary."""
+    rows = block.where(F.size("tokens") > 0).collect()
+    vocabulary = sorted({t for r in rows for t in r["tokens"]})
+    if not vocabulary:
+        return None
+    number = {t: i for i, t in enumerate(vocabulary)}
+    qids = np.array([r["qid"] for r in rows], np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(r["tokens"]) for r in rows])]).astype(np.int64)
+    terms = np.array([number[t] for r in rows for t in r["tokens"]], np.int64)
+    return qids, offsets, terms, vocabulary
 
 
-def _keyword_block(asked, features, size, k, k1, b, store) -> None:
-    # as large as there are tokens, so no term is left out
-    terms_in_block = asked.agg(F.sum(F.size("tokens"))).first()[0]
-    if not terms_in_block:
-        return
-    model = CountVectorizer(
-        inputCol="tokens", outputCol="terms", vocabSize=min(terms_in_block, 2**31 - 1), minDF=1.0
-    ).fit(asked)
-    counts = features(model)
+def _idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
+
+def _keyword_block(held, qids, offsets, terms, vocabulary, k, k1, b, store) -> None:
+    spark = held.sparkSession
+    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="tokens", outputCol="terms")
+    counted = model.transform(held).select("chunk_id", F.size("tokens").alias("length"), "terms")
+    path = scratch_folder(spark, "counts")
+    counted.write.parquet(path)
+    vector = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+    stored = spark.read.schema(f"chunk_id bigint, length int, terms {vector}").parquet(path)
+    # plain arrays, which Arrow can carry
+    counts = stored.select(
+        "chunk_id", "length", F.col("terms.indices").alias("term_ids"), F.col("terms.values").alias("term_counts")
+    )
     # one pass over the compact rows: document frequency per term, and under -1 the corpus size
     seen = F.concat(F.array(F.lit(-1)), F.col("term_ids"))
     totals = (
@@ -161,24 +167,23 @@ def _keyword_block(asked, features, size, k, k1, b, store) -> None:
         .toPandas()
         .set_index("term")
     )
-    if size is None:
-        size = (0, 0) if totals.empty else tuple(totals.loc[-1, ["df", "total"]])
-    n_docs, total_length = int(size[0]), int(size[1])
+    n_docs, total_length = (0, 0) if totals.empty else (int(v) for v in totals.loc[-1, ["df", "total"]])
     if total_length == 0:
         return
-    df = np.zeros(len(model.vocabulary))
+    df = np.zeros(len(vocabulary))
     known = totals[totals.index >= 0]
     df[known.index.to_numpy()] = known["df"].to_numpy()
-    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    held = counts.filter(F.size("term_ids") > 0).select(
-        "chunk_id", "length", "term_ids", "term_counts"
-    )
-    rows = model.transform(asked).select("qid", "terms").toPandas()
-    qids = rows["qid"].to_numpy(dtype=np.int64)
-    offsets = np.concatenate([[0], np.cumsum([len(t.indices) for t in rows["terms"]])])
-    terms = np.concatenate([t.indices for t in rows["terms"]])
-    state = (qids, offsets.astype(np.int64), terms, idf, total_length / n_docs, k, k1, b)
-    _best_rows(held, term_scorer, state, k, store)
+    matching = counts.filter(F.size("term_ids") > 0)
+    state = (qids, offsets, terms, _idf(df, n_docs), total_length / n_docs, k, k1, b)
+    _best_rows(matching, term_scorer, state, k, store)
+
+
+def _indexed_block(index, n_docs, mean_length, qids, offsets, terms, vocabulary, k, k1, b, store) -> None:
+    df = index.frequencies(vocabulary)
+    weights = _idf(df, n_docs)
+    state = (qids, offsets, terms, weights, mean_length, k, k1, b)
+    floor, ranges = index.open_ranges(*state, vocabulary, _ranked)
+    _best_rows(index.by_range(vocabulary, ranges), range_scorer, (*state, floor), k, store)
 
 
 # --- semantic leg ----------------------------------------------------------------------------
@@ -242,19 +247,22 @@ def _semantic(corpus_vectors, question_vectors, k, vector, scorer, state, block_
             matrix = np.stack(rows[vector].to_numpy()).astype(np.float64)
             _best_rows(held, scorer, state(qids, matrix), k, store)
 
-    return _in_blocks(asked, n * (dim or 0), block_entries, run)
+    return _in_blocks(asked, blocks, run)
 
 
 # --- columns of hits ------------------------------------------------------------------------
 
 
-def search_projection(hits: DataFrame, corpus: DataFrame, columns: list[str]) -> DataFrame:
+def search_projection(hits: DataFrame, corpus: DataFrame | ChunkStore, columns: list[str]) -> DataFrame:
     """Add the requested corpus columns to ranked hits.
 
-    Runs after the top-k, so texts are read for at most questions x k ids. Counted hits are broadcast
-    and the corpus is not shuffled. With too many hits for that, their distinct ids alone are
-    broadcast, up to a larger bound, and only chunks that were hit are shuffled to the join.
+    Runs after the top-k, so texts are read for at most questions x k ids. From a chunk store only the ranges that were
+    hit are read. A plain table has to be scanned: counted hits are broadcast and the corpus is not shuffled. With too many
+    hits for that, their distinct ids alone are broadcast, up to a larger bound, and only chunks that were hit are
+    shuffled to the join.
     """
+    if isinstance(corpus, ChunkStore):
+        return corpus.project(hits, columns)
     wanted = corpus.select("chunk_id", *columns)
     if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         joined = F.broadcast(hits).join(wanted, "chunk_id")
@@ -345,19 +353,3 @@ def hybrid_boosted(
     ).select("qid", text, "row.score", "row.leg", *[f"row.{c}" for c in rest], "late", "place")
     order = [F.col("score").desc(), F.col("late"), F.col("place")]
     return top_k_per_query(chosen, k, order).drop("late", "place")
-
-
-def search(
-    strategy: str | None,
-    corpus: DataFrame,
-    questions: DataFrame,
-    corpus_vectors: DataFrame,
-    question_vectors: DataFrame,
-    k: int,
-) -> DataFrame:
-    """One search by strategy name; no name means the semantic leg."""
-    if strategy == "keyword":
-        return keyword_search(corpus, questions, k)
-    if strategy in (None, "semantic"):
-        return semantic_search(corpus_vectors, question_vectors, k)
-    raise ValueError(f"unknown search strategy {strategy!r}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from citeflow.operators import best_matches, retrieval
 from citeflow.operators import index as ix
-from citeflow.operators.embedding import embed_text, fit_embedder, text_search
+from citeflow.operators.embedding import embed_text, fit_embedder, search, text_search
 from tests.conftest import plan_of
 
 WORDS = [f"t{i}" for i in range(40)]
@@ -165,20 +165,19 @@ def test_ann_recall(vector_frames, spark):
 
 
 def test_ann_recall_on_supplied_vectors(spark, sf):
-    corpus, asked = I.corpus_vectors(spark, sf), I.question_vectors(spark, sf)
+    corpus, asked = I.stored_vectors(spark, sf), I.question_vectors(spark, sf)
     exact = {(r.qid, r.chunk_id) for r in retrieval.semantic_search(corpus, asked, 10).collect()}
     found = {(r.qid, r.chunk_id) for r in retrieval.semantic_search_ann(corpus, asked, 10).collect()}
     # these vectors have hardly any structure; 24 of 64 cells are looked at
     assert len(exact & found) / len(exact) >= 0.55
 
 
-def test_search_by_strategy(small, vector_frames):
+def test_search_by_strategy(small):
     _, corpus, questions = small
-    vectors_, asked, _ = vector_frames
-    same = as_set(retrieval.semantic_search(vectors_, asked, 2))
-    assert as_set(retrieval.search(None, corpus, questions, vectors_, asked, 2)) == same
+    assert as_set(search(None, corpus, questions, 2)) == as_set(text_search(corpus, questions, 2))
+    assert as_set(search("keyword", corpus, questions, 2)) == as_set(retrieval.keyword_search(corpus, questions, 2))
     with pytest.raises(ValueError):
-        retrieval.search("psychic", corpus, questions, vectors_, asked, 2)
+        search("psychic", corpus, questions, 2)
 
 
 def test_postings_and_stats(small):
