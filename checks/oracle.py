@@ -585,6 +585,20 @@ PAIRED = (
     "ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'",
 )
 
+STORED_HISTORY = query(
+    "SELECT channel, (2 * i + p)::INTEGER AS position, role, content FROM (SELECT channel, i, p, role, CASE p WHEN 0 THEN "
+    + strip("lower(text)")
+    + " ELSE 're: ' || props END AS content FROM held, (VALUES (0, 'user'), (1, 'assistant')) r(p, role))",
+    EVENTS,
+    STATE,
+    ("latest", "SELECT channel AS c, max(epoch) AS e FROM state GROUP BY channel"),
+    (
+        "held",
+        "SELECT state.channel, text, text AS props, row_number() OVER (PARTITION BY state.channel ORDER BY ts, event_id) - 1 AS i "
+        "FROM state JOIN latest ON c = channel AND e = epoch WHERE accepted AND answered",
+    ),
+)
+
 ORACLE_SQL = {
     "corpus_catalog": query(
         "SELECT 'docs' AS name, 'chunk' AS search_column, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars FROM corpus "
@@ -743,6 +757,9 @@ ORACLE_SQL = {
     "message_filter": query("SELECT channel, event_id, text FROM ev WHERE accepted", EVENTS),
     "channel_history_state": query(HISTORY_LEN, EVENTS, STATE),
     "channel_history_state_batch": query(HISTORY_LEN, EVENTS, STATE),
+    "channel_history_state_split": query(HISTORY_LEN, EVENTS, STATE),
+    "stored_history": STORED_HISTORY,
+    "stored_history_split": STORED_HISTORY,
     "first_contact": query(FIRST_CONTACT, EVENTS, STATE),
     "first_contact_batch": query(FIRST_CONTACT, EVENTS, STATE),
     "clear_history": query(CLEAR, EVENTS, STATE),
@@ -791,19 +808,6 @@ ORACLE_SQL = {
         CORPUS,
         *EMBEDDED,
     ),
-    "stored_history": query(
-        "SELECT channel, (2 * i + p)::INTEGER AS position, role, content FROM (SELECT channel, i, p, role, CASE p WHEN 0 THEN "
-        + strip("lower(text)")
-        + " ELSE 're: ' || props END AS content FROM held, (VALUES (0, 'user'), (1, 'assistant')) r(p, role))",
-        EVENTS,
-        STATE,
-        ("latest", "SELECT channel AS c, max(epoch) AS e FROM state GROUP BY channel"),
-        (
-            "held",
-            "SELECT state.channel, text, text AS props, row_number() OVER (PARTITION BY state.channel ORDER BY ts, event_id) - 1 AS i "
-            "FROM state JOIN latest ON c = channel AND e = epoch WHERE accepted AND answered",
-        ),
-    ),
     "answer_bot_pages": query(
         "SELECT response_id, page_no, fallback_text FROM pgs",
         *BOT,

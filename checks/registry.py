@@ -19,7 +19,7 @@ from citeflow.sources import corpus as corp
 from citeflow.sources import logs, statements, transcript
 from citeflow.sources.chunk_store import read_chunk_store, write_chunk_store
 from citeflow.streaming import answering as answering_stream
-from citeflow.streaming import channels
+from citeflow.streaming import channels, split
 
 K = 10
 BOT_USER = "0"
@@ -463,15 +463,18 @@ def event_stream(spark, sf):
     return channels.read_events(spark, f"{sf}/event[s].parquet", schema)
 
 
-def event_files(spark, sf, parts=3):
-    """The events as several files in order of time, so that a stream of them takes several micro-batches."""
+EVENTS_A_SLICE = 1_000_000
+
+
+def event_slices(spark, sf):
+    """The events in slices of time of bounded size, each a table of as many files as it takes."""
     events = I.table(spark, sf, "events")
-    path = scratch_folder(spark, "events")
-    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / parts for i in range(1, parts)])).first()[0] or []
-    at = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.unix_micros(F.col("ts").cast("timestamp"))))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    parts = max(1, -(-events.count() // EVENTS_A_SLICE))
+    cuts = events.agg(F.percentile_approx(micros, [i / parts for i in range(1, parts)])).first()[0] if parts > 1 else []
+    at = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= micros))
     for i in range(len(cuts) + 1):
-        events.filter(at == i).coalesce(1).write.mode("append").parquet(path)
-    return channels.read_events(spark, path, events.schema, files_per_batch=1)
+        yield events.filter(at == i).repartitionByRange("ts", "event_id")
 
 
 def message_filter(spark, sf):
@@ -480,8 +483,36 @@ def message_filter(spark, sf):
 
 
 def state_rows(spark, sf, path=None):
-    stream = channels.channel_state_stream(I.as_channel_events(event_files(spark, sf)))
-    return channels.run_to_end(stream, "state", path)
+    """A slice after the other arrives, and the stream goes on from where it stopped: order of arrival is that of time."""
+    path, folder = path or scratch_folder(spark, "state"), scratch_folder(spark, "events")
+    for part in event_slices(spark, sf):
+        part.write.mode("append").parquet(folder)
+        stream = channels.read_events(spark, folder, part.schema)
+        rows = channels.run_to_end(channels.channel_state_stream(I.as_channel_events(stream)), "state", path)
+    return rows
+
+
+def split_state(spark, sf):
+    """Past events are in the state before the stream begins; later ones arrive slice by slice."""
+    path, folder = scratch_folder(spark, "state"), scratch_folder(spark, "events")
+    half = I.table(spark, sf, "events").agg(
+        F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)
+    ).first()[0]
+    late = F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(half)
+    split.bootstrap(I.as_channel_events(I.table(spark, sf, "events").filter(~late)), path)
+    for part in event_slices(spark, sf):
+        part.filter(late).write.mode("append").parquet(folder)
+        stream = channels.read_events(spark, folder, part.schema)
+        rows = split.channel_state_split(I.as_channel_events(stream), path)
+    return rows, path
+
+
+def channel_history_state_split(spark, sf):
+    return split_state(spark, sf)[0].select("channel", "event_id", "kind", "epoch", "history_len")
+
+
+def stored_history_split(spark, sf):
+    return split.split_history(spark, split_state(spark, sf)[1])
 
 
 def stored_history(spark, sf):
@@ -644,5 +675,6 @@ QUERIES = {
         self_join_filter, active_channels, deletion_plan, purge_all, purge_resets,
         answer_web, answer_bot, answer_bot_default, answer_bot_fallback, answer_bot_indexed,
         answer_bot_pages, semantic_text_search, stored_history, answer_stream,
+        channel_history_state_split, stored_history_split,
     )
 } | {"embed_text": embedding, "prompt_bot": bot_prompts}

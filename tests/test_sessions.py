@@ -7,7 +7,7 @@ from checks import inputs as I
 from citeflow.operators import sessions
 from citeflow.operators.running import running_totals
 from citeflow.session import scratch_folder
-from citeflow.streaming import channels
+from citeflow.streaming import channels, split
 from tests.conftest import plan_of
 
 SCHEMA = "channel long, event_id long, ts timestamp, kind string, text string, bot_id string, response string"
@@ -119,6 +119,88 @@ def test_stream_state_holds_the_history(spark, story, tmp_path):
     assert [tuple(r) for r in held] == [(1, 0, "user", "t"), (1, 1, "assistant", "a3")]
 
 
+def in_batches(spark, rows, folder, cuts):
+    """Events as files, one after the other in order of time."""
+    for low, high in zip([-1, *cuts], [*cuts, 10**9], strict=True):
+        part = rows.filter((F.col("event_id") > low) & (F.col("event_id") <= high))
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+
+def noisy(spark, n=400):
+    """Half of all events in one channel; clears, ends, unanswered messages, bots."""
+    rng = random.Random(11)
+    kinds = ["message"] * 12 + ["clear", "end"]
+    return events(spark, [
+        (0 if rng.random() < 0.5 else rng.randint(1, 6), rng.choice(kinds), rng.choice(["Hi", "", None, "Why?"]),
+         rng.choice([None, None, "b1"]), rng.choice(["", None, "so", "a1"])) for _ in range(n)
+    ])
+
+
+def same_rows(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_slice", [10, 10**6])
+def test_split_state_equals_batch(spark, tmp_path, monkeypatch, rows_per_slice):
+    monkeypatch.setattr(split, "FULL_EVERY", 2)
+    story, folder, path = noisy(spark), str(tmp_path / "in"), str(tmp_path / "out")
+    in_batches(spark, story, folder, [60, 61, 150, 290])
+    stream = channels.read_events(spark, folder, story.schema, files_per_batch=1)
+    rows = split.channel_state_split(stream, path, rows_per_slice=rows_per_slice)
+    batch = sessions.channel_history_state(story)
+    assert same_rows(rows.select(*batch.columns), batch) and rows.select("batch_id").distinct().count() == 5
+    clear, end = sessions.clear_history(story), sessions.end_session(story)
+    assert same_rows(rows.filter("kind = 'clear'").select(*clear.columns), clear)
+    assert same_rows(rows.filter("kind = 'end'").select(*end.columns), end)
+    assert same_rows(rows.filter("welcome").select("channel", "event_id"), sessions.first_contact(story).select("channel", "event_id"))
+    # what the channels hold is what the plain stream holds
+    plain = str(tmp_path / "plain")
+    channels.run_to_end(channels.channel_state_stream(channels.read_events(spark, folder, story.schema, files_per_batch=1)), "s", plain, 2)
+    held = channels.stored_history(spark, plain)
+    assert held.count() > 0 and same_rows(split.split_history(spark, path, rows_per_slice=rows_per_slice).select(*held.columns), held)
+    # a batch that is run again replaces what it wrote
+    before = rows.count()
+    split.apply_batch(story.filter("event_id > 290"), path, 4, rows_per_slice=rows_per_slice)
+    again = spark.read.schema(split.ROWS).parquet(f"{path}/told")
+    assert again.count() == before and same_rows(again.select(*batch.columns), batch)
+
+
+def test_start_from_past_events(spark, tmp_path):
+    story = noisy(spark)
+    past, later = story.filter("event_id <= 170"), story.filter("event_id > 170")
+    batch = sessions.channel_history_state(story)
+    folder, path, plain = (str(tmp_path / n) for n in ("in", "split", "plain"))
+    in_batches(spark, later, folder, [300])
+    split.bootstrap(past, path, rows_per_slice=20)
+    rows = split.channel_state_split(channels.read_events(spark, folder, story.schema, files_per_batch=1), path)
+    assert same_rows(rows.select(*batch.columns), batch)
+    stream = channels.read_events(spark, folder, story.schema, files_per_batch=1)
+    told = channels.run_to_end(channels.channel_state_stream(stream, initial=channels.initial_state(past)), "s", plain, 2)
+    assert same_rows(told.select(*batch.columns), batch.join(later.select("event_id"), "event_id", "left_semi").select(*batch.columns))
+    held = channels.stored_history(spark, plain)
+    assert same_rows(split.split_history(spark, path).select(*held.columns), held)
+
+
+def test_hot_channel_is_split_by_slices(spark, tmp_path):
+    story = noisy(spark)
+    seen = []
+    original = split.running_totals
+
+    def watched(df, keys, *rest, **slicing):
+        found = original(df, keys, *rest, **slicing)
+        seen.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    split.running_totals = watched
+    try:
+        split.apply_batch(story, str(tmp_path / "out"), 0, rows_per_slice=40)
+    finally:
+        split.running_totals = original
+    # every window over events is by channel and slice; only the one over sums of slices is by channel alone
+    windows = [line for line in seen[0].splitlines() if "Window [" in line]
+    assert sum("_slice" in line.split("windowspec")[-1] or "_slice" in line for line in windows) == len(windows)
+
+
 def test_failed_end_has_its_own_notice(spark, story):
     failed = spark.createDataFrame([(9,)], "event_id long")
     got = {r.event_id: r.notice for r in sessions.end_session(story, failed).collect()}
