@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from citeflow.functions import markup
-from citeflow.operators import completion, context, history, prompts, rendering, sessions
+from citeflow.operators import completion, context, history, latent, prompts, rendering, sessions
 from citeflow.operators import index as ix
 from citeflow.operators import retrieval as rt
 from citeflow.operators import vector_index as vx
@@ -261,6 +261,13 @@ def semantic_search_ann(spark, sf):
     return rounded(rt.semantic_search_ann(I.stored_vectors(spark, sf), I.question_vectors(spark, sf), K))
 
 
+def semantic_search_latent(spark, sf):
+    """Benchmark questions by learnt vectors, over all documents; the model is stored and read again."""
+    path, corpus = scratch_folder(spark, "latent"), I.corpus(spark, sf)
+    latent.write_latent(spark, latent.fit_latent(corpus), path)
+    return rounded(latent.latent_search(corpus, I.questions(spark, sf), K, latent.read_latent(spark, path)))
+
+
 def semantic_search_stored(spark, sf):
     """All stored vectors through the vector index, searched until no cell can hold a better one."""
     path = scratch_folder(spark, "vectors")
@@ -663,7 +670,7 @@ QUERIES = {
         keyword_search, keyword_search_indexed, keyword_search_segments, semantic_search, default_search,
         hybrid_first_seen, hybrid_boosted, hybrid_boosted_raw, dedupe_by_text, top_k_per_query,
         union_all_ranked, postings, term_stats, corpus_stats, semantic_search_ann,
-        semantic_search_stored,
+        semantic_search_stored, semantic_search_latent,
         context_web, context_bot, citations_by_url, url_default,
         history_window, strip_citations, history_render, query_route, query_rewrite_prompt,
         question_normalize, prompt_web, complete, model_select, response_or_apology,

@@ -95,7 +95,7 @@ def keyword_search(
     The corpus is tokenised once, whatever the number of blocks, and never shuffled. A block's vocabulary is
     counted inside the rows of the corpus: what is written is one compact row per chunk.
     """
-    held = corpus.select("chunk_id", tokens(F.col(text)).alias("tokens"))
+    held = corpus.select("chunk_id", tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     asked, blocks = _asked_tokens(questions, block_entries)
     if blocks > 1:
         held = written(held, "tokens")

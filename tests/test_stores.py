@@ -27,6 +27,7 @@ def texts(spark):
         if i in (17, 18, 444):
             words += ["needle"] * (i % 5 + 1)
         rows.append((i * 3, " ".join(words)))
+    rows += [(5000, None), (5001, "")]
     corpus = spark.createDataFrame(rows, "chunk_id long, chunk string").repartition(4)
     asked = spark.createDataFrame(
         [(1, "needle"), (2, "needle all w1"), (3, "w3 w9 w50"), (4, "nothing here"), (5, ""), (6, "all"), (7, None)],
