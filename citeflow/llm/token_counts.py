@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from citeflow.llm.pretokens import END, Vocabulary, default_path, vocabulary
 from citeflow.llm.tables import text_or_empty
 
-MEMO = 500_000  # entries each of the memos of a worker keeps; they only save time
+MEMO = 200_000  # entries each of the memos of a worker keeps; they only save time
 LIMIT = 2048
 
 
@@ -74,7 +75,7 @@ class PrefixCounter:
         return counts, last, begins
 
     def size(self, word: str) -> int:
-        """Tokens of a whole word."""
+        """Tokens of a whole word: the last entry of its table."""
         letters = self.vocab.letters(word)
         counts, last, begins = self._opened(letters)
         found = counts[self._last(letters, len(letters), END, last, begins[-1])[0]] + 1
@@ -83,6 +84,10 @@ class PrefixCounter:
         self._sizes[word] = found
         return found
 
+    def sizes(self, words: list[str]) -> list[int]:
+        known = self._sizes.get
+        return [known(w) or self.size(w) for w in words]
+
     def word(self, word: str) -> tuple[int, ...]:
         """Tokens of the text cut after each character of a word, the whole word last."""
         found = self._words.get(word)
@@ -110,27 +115,24 @@ class PrefixCounter:
             closed.append(counts[self._last(letters, at, END, last, begins[at - 1])[0]] + 1)
         return tuple(closed)
 
-    def total(self, text: str) -> int:
-        """Tokens of a whole text: the last entry of its table, without the table."""
-        known, size, count = self._sizes.get, self.size, 0
-        for i, segment in enumerate(self.vocab.segments(text)):
-            if i % 2:
-                count += 1
-            else:
-                count += sum([known(w) or size(w) for w in self.vocab.cut(self.vocab.normal(segment))])
-        return count
-
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
 
+    def total(self, text: str) -> int:
+        return self.table(text).total
+
 
 class PrefixTable:
-    """Token counts at all prefixes of a normalised text, kept as running totals at word begins and the
-    words' own tables."""
+    """Token counts at all prefixes of a normalised text: running totals at the begin of every word, and the entries inside a
+    word worked out when a prefix that ends there is asked for."""
 
     def __init__(self, counter: PrefixCounter, text: str):
         vocab = counter.vocab
-        self.starts, self.ends, self.before, self.words = [], [], [], []
+        self.counter = counter
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.before: list[int] = []
+        self.words: list[str | tuple[int, ...]] = []  # a special token has its entries at once
         self.normal, tokens, after_special = "", 0, False
         for i, segment in enumerate(vocab.segments(text)):
             base = len(self.normal)
@@ -140,25 +142,30 @@ class PrefixTable:
                 tail = self.normal[self.starts[-1] : base] if joined else ""
                 lead = self.before[-1] if tail else tokens
                 partial = [lead + sum(counter.word(w)[-1] for w in vocab.cut(tail + segment[:k])) for k in range(1, len(segment))]
-                self._add(base, base + len(segment), tokens, tuple(n - tokens for n in partial) + (1,))
+                self.starts.append(base)
+                self.ends.append(base + len(segment))
+                self.before.append(tokens)
+                self.words.append(tuple(n - tokens for n in partial) + (1,))
                 self.normal += segment
                 tokens += 1
                 after_special = True
                 continue
             normal = vocab.normal(segment)
             after_special = after_special and not normal
-            for a, b in vocab.spans(normal):
-                counts = counter.word(normal[a:b])
-                self._add(base + a, base + b, tokens, counts)
-                tokens += counts[-1]
-            self.normal += normal
+            spans = vocab.spans(normal)
+            words = [normal[a:b] for a, b in spans]
+            totals = list(accumulate(counter.sizes(words), initial=tokens))
+            tokens = totals.pop()
+            self.starts += [base + a for a, _ in spans]
+            self.ends += [base + b for _, b in spans]
+            self.before += totals
+            self.words += words
+            self.normal = self.normal + normal if base else normal
         self.total = tokens
 
-    def _add(self, start: int, end: int, before: int, counts: tuple[int, ...]) -> None:
-        self.starts.append(start)
-        self.ends.append(end)
-        self.before.append(before)
-        self.words.append(counts)
+    def _inside(self, i: int) -> tuple[int, ...]:
+        word = self.words[i]
+        return self.counter.word(word) if isinstance(word, str) else word
 
     def at(self, length: int) -> int:
         """Tokens of the first ``length`` characters of the normalised text."""
@@ -166,8 +173,8 @@ class PrefixTable:
         if i < 0:
             return 0
         if length >= self.ends[i]:
-            return self.before[i] + self.words[i][-1]
-        return self.before[i] + self.words[i][length - 1 - self.starts[i]]
+            return self.before[i + 1] if i + 1 < len(self.before) else self.total
+        return self.before[i] + self._inside(i)[length - 1 - self.starts[i]]
 
     def cut(self, budget: int) -> int:
         """Length of the longest prefix of at most ``budget`` tokens. Counts may fall again inside a word, so the
@@ -176,7 +183,7 @@ class PrefixTable:
             return len(self.normal)
         # Totals at word begins never fall: no later word begins within the budget.
         i = bisect_right(self.before, budget) - 1
-        fits = [k for k, n in enumerate(self.words[i], 1) if self.before[i] + n <= budget]
+        fits = [k for k, n in enumerate(self._inside(i), 1) if self.before[i] + n <= budget]
         return self.starts[i] + fits[-1] if fits else self.starts[i]
 
 
@@ -185,21 +192,31 @@ def prefix_counter(path: str) -> PrefixCounter:
     return PrefixCounter(vocabulary(path))
 
 
-def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens`` of every row of ``docs(doc_id, text, ...)``.
+def token_counts(docs: DataFrame, path: str | None = None, budget: int = LIMIT) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, fits, prefix_chars, prefix_tokens`` of every row of ``docs(doc_id, text, ...)``, all read off
+    the text's prefix table: ``n_tokens`` is its last entry, ``prefix_chars`` the length of the longest prefix of the normalised
+    text within ``budget`` tokens, ``prefix_tokens`` that prefix's entry, and ``fits`` says whether it is the whole text.
 
     Defined cases: a null text counts as empty and has no tokens. A special token named in a text is one token.
     doc_id may be null or repeated; rows are counted one by one. No rows give no rows.
     """
     path = path or default_path()
-    frame = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("_text"))
-    schema = frame.drop("_text").schema.add("n_tokens", "long")
+    text = text_or_empty()
+    frame = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("_text"))
+    schema = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes")).schema
+    schema = schema.add("n_tokens", "long").add("fits", "boolean").add("prefix_chars", "long").add("prefix_tokens", "long")
 
     def per_batch(batches):
-        total = prefix_counter(path).total
+        counter = prefix_counter(path)
         for batch in batches:
-            counts = [total(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=schema.names)
+            found = []
+            for value in batch.column(2):  # one text and its table at a time
+                table = counter.table(value.as_py())
+                length = table.cut(budget)
+                found.append((table.total, length == len(table.normal), length, table.at(length)))
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
 
     return frame.mapInArrow(per_batch, schema)
 
@@ -245,4 +262,5 @@ def truncated(docs: DataFrame, budget: int, path: str | None = None) -> DataFram
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    over = (~F.col("fits")).alias("over_limit")
+    return found.select("doc_id", "n_bytes", "n_tokens", over, "prefix_chars", "prefix_tokens")

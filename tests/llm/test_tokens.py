@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from citeflow.llm.bpe import splitter
 from citeflow.llm.pretokens import default_path
-from citeflow.llm.token_counts import prefix_counter
+from citeflow.llm.token_counts import prefix_counter, token_counts
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,16 @@ def test_totals_equal_the_library(library):
     for text in hostile(3000, 9):
         n = len(library.encode(text, add_special_tokens=False).ids)
         assert counter.total(text) == n == counter.table(text).total
+
+
+def test_budgets_are_read_off_the_prefix_table(spark, sf):
+    library = Tokenizer.from_file(default_path())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in token_counts(docs, budget=50).collect():
+        normal = library.normalizer.normalize_str(texts[r["doc_id"]])
+        size = lambda n: len(library.encode(normal[:n], add_special_tokens=False).ids)  # noqa: B023, E731
+        assert r["prefix_tokens"] == size(r["prefix_chars"]) <= 50
+        assert r["fits"] == (r["n_tokens"] <= 50) == (r["prefix_chars"] == len(normal))
+        # Counts may fall inside a word, so the next ones are looked at too.
+        assert all(size(n) > 50 for n in range(r["prefix_chars"] + 1, min(len(normal), r["prefix_chars"] + 40) + 1))
