@@ -777,6 +777,22 @@ ORACLE_SQL = {
         EVENTS,
         ("gone", DELETED),
     ),
+    "deletion_ledger": query(
+        "SELECT channel, end_event_id, event_id, page_no, credential, NOT (wave = 0 AND broken) AS deleted, wave FROM "
+        "(SELECT *, channel % 5 = 0 AND page_no = 1 AS broken FROM planned), (VALUES (0), (1)) w(wave) WHERE wave = 0 OR broken",
+        EVENTS,
+        ("gone", DELETED),
+        (
+            "planned",
+            f"SELECT channel, end_event_id, event_id, {paged('end_event_id')}, "
+            "CASE WHEN bot_id IS NULL THEN 'user' ELSE 'bot' END AS credential FROM gone",
+        ),
+    ),
+    "live_messages": query(
+        "SELECT channel, event_id FROM ev WHERE kind = 'message' AND event_id NOT IN (SELECT event_id FROM gone)",
+        EVENTS,
+        ("gone", DELETED),
+    ),
     "purge_all": query(
         f"SELECT channel, event_id, {paged('channel')}, 'bot' AS credential FROM ev WHERE kind = 'message' "
         "AND channel IN (SELECT channel FROM ev WHERE accepted) AND event_id NOT IN (SELECT event_id FROM gone)",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from citeflow.functions import markup
-from citeflow.operators import completion, context, history, latent, prompts, rendering, sessions
+from citeflow.operators import completion, context, deletions, history, latent, prompts, rendering, sessions
 from citeflow.operators import index as ix
 from citeflow.operators import retrieval as rt
 from citeflow.operators import vector_index as vx
@@ -575,6 +575,28 @@ def deletion_plan(spark, sf):
     return sessions.deletion_plan(I.channel_events(spark, sf))
 
 
+def deletion_ledger(spark, sf):
+    """The plan applied in two runs: in the first the second page of every fifth channel gives no answer."""
+    plan, path = sessions.deletion_plan(I.channel_events(spark, sf)), scratch_folder(spark, "ledger")
+
+    def broken(rows):
+        if rows["channel"].iloc[0] % 5 == 0 and rows["page_no"].iloc[0] == 1:
+            raise ConnectionError("no answer")
+        return [None] * len(rows)
+
+    deletions.apply_deletions(plan, path, broken)
+    deletions.apply_deletions(plan, path, lambda rows: [None] * len(rows))
+    return deletions.ledger(spark, path).select("channel", "end_event_id", "event_id", "page_no", "credential", "deleted", "wave")
+
+
+def live_messages(spark, sf):
+    """Messages that are left when the plan was applied."""
+    events, path = I.channel_events(spark, sf), scratch_folder(spark, "ledger")
+    deletions.apply_deletions(sessions.deletion_plan(events), path, lambda rows: [None] * len(rows))
+    deletions.compact(spark, path)
+    return deletions.live_messages(events, path).filter("kind = 'message'").select("channel", "event_id")
+
+
 def purge_all(spark, sf):
     return sessions.purge_all(I.channel_events(spark, sf))
 
@@ -682,6 +704,6 @@ QUERIES = {
         self_join_filter, active_channels, deletion_plan, purge_all, purge_resets,
         answer_web, answer_bot, answer_bot_default, answer_bot_fallback, answer_bot_indexed,
         answer_bot_pages, semantic_text_search, stored_history, answer_stream,
-        channel_history_state_split, stored_history_split,
+        channel_history_state_split, stored_history_split, deletion_ledger, live_messages,
     )
 } | {"embed_text": embedding, "prompt_bot": bot_prompts}
