@@ -689,6 +689,7 @@ ORACLE_SQL = {
         "SELECT chunk_id, CASE WHEN chunk_id % 4 < 2 THEN '#' ELSE source_url END AS url FROM corpus", CORPUS
     ),
     "history_window": query("SELECT * FROM win", MESSAGES, window(4)),
+    "history_window_recent": query("SELECT * FROM win", MESSAGES, window(4)),
     "strip_citations": (
         "SELECT conv_id, turn, "
         + cleaned(

@@ -16,7 +16,7 @@ from citeflow.plans import answering
 from citeflow.session import scratch_folder, written
 from citeflow.settings import Settings
 from citeflow.sources import corpus as corp
-from citeflow.sources import logs, statements, transcript
+from citeflow.sources import logs, recent, statements, transcript
 from citeflow.sources.chunk_store import read_chunk_store, write_chunk_store
 from citeflow.streaming import answering as answering_stream
 from citeflow.streaming import channels, split
@@ -314,6 +314,15 @@ def history_window(spark, sf):
     return history.history_window(I.messages(spark, sf), 4)
 
 
+def history_window_recent(spark, sf):
+    """As the window over the whole transcript, from the store of newest messages after three batches."""
+    path, told = scratch_folder(spark, "recent"), I.messages(spark, sf)
+    for b in range(3):
+        recent.update_recent(told.filter(F.col("turn") % 3 == b), path, b)
+    recent.drop_old_versions(spark, path)
+    return recent.recent_window(spark, path, 4)
+
+
 def strip_citations(spark, sf):
     tail = F.when(F.col("turn") % 2 == 0, F.lit("\nSources: [^1] x")).otherwise(F.lit(""))
     text = F.concat(F.lit("  "), "text", F.lit(" [^1][^12] \n"), tail)
@@ -705,5 +714,6 @@ QUERIES = {
         answer_web, answer_bot, answer_bot_default, answer_bot_fallback, answer_bot_indexed,
         answer_bot_pages, semantic_text_search, stored_history, answer_stream,
         channel_history_state_split, stored_history_split, deletion_ledger, live_messages,
+        history_window_recent,
     )
 } | {"embed_text": embedding, "prompt_bot": bot_prompts}
