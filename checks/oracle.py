@@ -624,6 +624,12 @@ ORACLE_SQL = {
         "::INTEGER AS tail_rank FROM lines WHERE trim(value, ' ') <> '' QUALIFY tail_rank <= 300",
         LINES,
     ),
+    "log_file_tail": (
+        "SELECT log, row_number() OVER (PARTITION BY log ORDER BY doc_id DESC, i DESC)::INTEGER AS from_end, value FROM ("
+        "SELECT source || '-' || (doc_id // 1000) AS log, doc_id, unnest(range(len(l))) AS i, unnest(l) AS value "
+        "FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents)) "
+        "WHERE trim(value) <> '' QUALIFY from_end <= 300"
+    ),
     "log_tail_overall": query(
         "SELECT doc_id, index, value FROM lines WHERE trim(value, ' ') <> '' ORDER BY doc_id DESC, index DESC LIMIT 300",
         LINES,

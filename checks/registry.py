@@ -16,7 +16,7 @@ from citeflow.plans import answering
 from citeflow.session import scratch_folder, written
 from citeflow.settings import Settings
 from citeflow.sources import corpus as corp
-from citeflow.sources import logs, recent, statements, transcript
+from citeflow.sources import log_files, logs, recent, statements, transcript
 from citeflow.sources.chunk_store import read_chunk_store, write_chunk_store
 from citeflow.streaming import answering as answering_stream
 from citeflow.streaming import channels, split
@@ -119,6 +119,20 @@ def log_tail_overall(spark, sf):
     return logs.last_lines(logs.log_lines(I.logs(spark, sf), "text"), ["doc_id", "index"])
 
 
+DOCS_A_LOG = 1000
+
+
+def log_file_tail(spark, sf):
+    """The texts of a thousand documents of a source are a log file; each file is read from its end."""
+    path = scratch_folder(spark, "logs")
+    log = F.concat_ws("-", "source", F.floor(F.col("doc_id") / DOCS_A_LOG).cast("string"))
+    docs = I.table(spark, sf, "documents").select(log.alias("log"), "doc_id", F.col("text").alias("value"))
+    laid = docs.repartition("log").sortWithinPartitions("log", "doc_id").select("log", "value")
+    laid.write.partitionBy("log").text(path)
+    tail = log_files.log_file_tail(spark, path)
+    return tail.select(F.regexp_extract("path", "log=([^/]*)/", 1).alias("log"), "from_end", "value")
+
+
 def piped_query(spark, sf):
     listing = I.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     return statements.piped_query(listing, "EVENTS")
@@ -714,6 +728,6 @@ QUERIES = {
         answer_web, answer_bot, answer_bot_default, answer_bot_fallback, answer_bot_indexed,
         answer_bot_pages, semantic_text_search, stored_history, answer_stream,
         channel_history_state_split, stored_history_split, deletion_ledger, live_messages,
-        history_window_recent,
+        history_window_recent, log_file_tail,
     )
 } | {"embed_text": embedding, "prompt_bot": bot_prompts}
