@@ -29,7 +29,9 @@ def con(sf) -> duckdb.DuckDBPyConnection:
 def test_registry_and_sql_agree():
     queries, sql = entry_module.queries(), entry_module.oracle_sql()
     assert set(sql) <= set(queries)
-    assert {n for n in queries if not n.startswith("op") and n != "pipeline"} <= set(sql)
+    # learnt vectors are beyond SQL; tests/test_latent.py compares them with a plain decomposition
+    beyond = {"pipeline", "semantic_search_latent"}
+    assert {n for n in queries if not n.startswith("op")} - beyond <= set(sql)
 
 
 @pytest.mark.parametrize("name", COMPARED)
