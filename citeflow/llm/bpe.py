@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from citeflow.llm.pretokens import END, Vocabulary, default_path, vocabulary
 
 # Bytes of words and of fragments a worker remembers; the memos only save time.
-WORD_MEMO, FRAGMENT_MEMO = 40 << 20, 8 << 20
+WORD_MEMO, FRAGMENT_MEMO = 96 << 20, 32 << 20
 SLICE_BYTES = 1 << 20  # text whose ids and decoded texts are held at once; a longer text is a slice of its own
 
 
