@@ -15,37 +15,39 @@ from pyspark.sql.types import ArrayType, StringType
 
 from citeflow.llm.tables import Scratch, text_or_empty, words
 
-FREQUENT, BUCKETS = 192, 64  # words with a class of their own, and classes all others share by hash
-CLASSES = FREQUENT + BUCKETS
-EDGE = CLASSES  # stands for what lies beyond the text
 SIDE, WIDTH = 2, 16  # words seen on each side, size of the hidden layer
-ROUNDS, BATCH, RATE = 2, 512, 0.1  # the rounds share out all words: in each, every document trains on each ROUNDS-th
-CHUNK = 8192  # words scored at once
-UNIT = 1 << 20  # weights are averaged as whole multiples of 1/UNIT, so the sum has no order
+PLACES = 2 * SIDE
+STEPS, RATE = 8, 0.1  # step s trains on the places s, s + STEPS, ... of every text; all steps together on every word
+SHARED = 0.4  # how far the places around a word count as independent before training
+SMOOTH = 20.0  # words of context added, dealt out like the classes
+BATCH, CHUNK = 2048, 8192  # words trained on, and scored, at once
+UNIT = 1 << 24  # sums are of whole multiples of 1/UNIT, so they have no order
 MEMO = 300_000
-LISTED = 100_000  # counts of so many words go to every task
+LISTED = 100_000  # counts of at most so many words go to every task
 
-SHAPES = {"e": (2 * SIDE, CLASSES + 1, WIDTH), "b": (WIDTH,), "w": (WIDTH, CLASSES), "c": (CLASSES,)}
+
+def half_for(types: int) -> int:
+    """Words with a class of their own, and classes by ending: grows with the number of different words."""
+    return max(WIDTH, round(3 * math.log2(types + 2)))
 
 
 class Classes(dict):
-    """Class of a word; words without one of their own are hashed, and remembered for a while."""
+    """Class of a word: one of its own for the most frequent ones, that of the last two bytes for the others, which
+    are remembered for a while."""
 
-    def __init__(self, frequent: list[bytes]):
+    def __init__(self, frequent: list[bytes], half: int):
         super().__init__({w: i for i, w in enumerate(frequent)})
-        self.frequent = len(frequent)
-        self.base = dict(self)
+        self.half, self.base = half, dict(self)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
             self.update(self.base)
-        found = self[word] = FREQUENT + zlib.crc32(word) % BUCKETS
+        found = self[word] = self.half + zlib.crc32(word[-2:]) % self.half
         return found
 
-    def of(self, text: str) -> np.ndarray:
-        found = text.encode().lower().split()
-        return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), np.uint16, len(found))
 
 
 @dataclass
@@ -57,20 +59,33 @@ class Network:
     w: np.ndarray
     c: np.ndarray
 
+    @staticmethod
+    def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+        return {"e": (PLACES, classes + 1, WIDTH), "b": (WIDTH,), "w": (WIDTH, classes), "c": (classes,)}
+
     @classmethod
-    def fresh(cls, shares: np.ndarray) -> Network:
-        draw = np.random.default_rng(7)
-        start = {k: draw.normal(0, 0.1, s).astype(np.float32) for k, s in SHAPES.items()}
-        start["c"] = np.log(shares + 1e-6).astype(np.float32)
-        return cls(**start)
+    def from_counts(cls, met: np.ndarray) -> Network:
+        """Start from ``met[place, x, c]``, how often class x was at that place around class c: the leading directions of
+        the logarithm of how much more often than by chance."""
+        classes = met.shape[2]
+        share = met[0].sum(0) + 1.0
+        share /= share.sum()
+        seen = met.sum(2, keepdims=True)
+        more = np.log((met + SMOOTH * share) / (seen + SMOOTH)) - np.log(share)
+        rows, cols = np.sqrt(seen + 1), np.sqrt(share)
+        u, s, v = np.linalg.svd((more * rows * cols).reshape(-1, classes), full_matrices=False)
+        e = SHARED * (u[:, :WIDTH] * s[:WIDTH]).reshape(PLACES, classes + 1, WIDTH) / rows
+        # Small enough for tanh to be nearly straight.
+        scale = max(1e-6, 4 * np.sqrt((e * e * seen).sum() / max(1.0, seen.sum()) / WIDTH))
+        return cls(*(x.astype(np.float32) for x in (e / scale, np.zeros(WIDTH), v[:WIDTH] / cols * scale, np.log(share))))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in SHAPES])
+        return np.concatenate([x.ravel() for x in (self.e, self.b, self.w, self.c)]).astype(np.float64)
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Network:
+    def of(cls, flat: np.ndarray, classes: int) -> Network:
         parts, at = {}, 0
-        for k, shape in SHAPES.items():
+        for k, shape in cls.shapes(classes).items():
             n = int(np.prod(shape))
             parts[k] = flat[at : at + n].reshape(shape).astype(np.float32)
             at += n
@@ -78,7 +93,7 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         total = self.b + self.e[0][around[:, 0]]
-        for place in range(1, 2 * SIDE):
+        for place in range(1, PLACES):
             total += self.e[place][around[:, place]]
         return np.tanh(total)
 
@@ -89,30 +104,39 @@ class Network:
         hit = scores[np.arange(len(of)), of]
         return hit - np.log(np.exp(scores, out=scores).sum(axis=1))
 
-    def train(self, around: np.ndarray, of: np.ndarray, memory: dict[str, np.ndarray]) -> None:
-        """One step of gradient descent, each weight slowed by its own past gradients."""
-        n = len(of)
+    def gradient(self, around: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Gradient of minus the sum of ``log_chances`` by all weights, in the order of ``flat``."""
         h = self.hidden(around)
         scores = h @ self.w + self.c
         scores -= scores.max(axis=1, keepdims=True)
-        chance = np.exp(scores)
+        chance = np.exp(scores, out=scores)
         chance /= chance.sum(axis=1, keepdims=True)
-        chance[np.arange(n), of] -= 1
-        chance /= n
+        chance[np.arange(len(of)), of] -= 1
         back = (chance @ self.w.T) * (1 - h * h)
-        cells = ((around + np.arange(2 * SIDE) * (CLASSES + 1))[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
-        e = np.bincount(cells, np.repeat(back, 2 * SIDE, axis=0).ravel(), self.e.size).astype(np.float32).reshape(self.e.shape)
-        for k, g in (("e", e), ("b", back.sum(0)), ("w", h.T @ chance), ("c", chance.sum(0))):
-            memory[k] += g * g
-            getattr(self, k)[...] -= RATE * g / (np.sqrt(memory[k]) + 1e-6)
+        rows = self.e.shape[1]
+        cells = ((around + np.arange(PLACES) * rows)[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+        e = np.bincount(cells, np.repeat(back, PLACES, axis=0).ravel(), self.e.size)
+        return np.concatenate([e, back.sum(0, dtype=np.float64), (h.T @ chance).ravel(), chance.sum(0, dtype=np.float64)])
+
 
+def padded(ids: np.ndarray, edge: int) -> bytes:
+    """A text's classes between marks for what lies beyond it."""
+    ends = np.full(SIDE, edge, np.uint16)
+    return np.concatenate([ends, ids, ends]).tobytes()
 
-def windows(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """The classes around each word, or around those at the places ``at``."""
-    padded = np.concatenate([np.full(SIDE, EDGE, np.int32), ids, np.full(SIDE, EDGE, np.int32)])
-    at = np.arange(len(ids)) if at is None else at
-    places = [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]
-    return np.stack([padded[at + p] for p in places], axis=1)
+
+def windows(texts: list[bytes], step: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``around``, ``of`` and the number of the text, for every word of padded texts, or for those that ``step`` trains on."""
+    joined = np.frombuffer(b"".join(texts), np.uint16).astype(np.int64)
+    sizes = np.array([len(t) // 2 for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - SIDE
+    inside = (place >= 0) & (place < sizes[owner] - PLACES)
+    if step is not None:
+        inside &= place % STEPS == step
+    at = np.flatnonzero(inside)
+    around = np.stack([joined[at + p] for p in range(-SIDE, SIDE + 1) if p], axis=1)
+    return around, joined[at], owner[at]
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -122,167 +146,171 @@ def counted(docs: DataFrame) -> DataFrame:
     return Scratch(docs.sparkSession, "lm").write(counts, "words")
 
 
-def frequencies(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words, counted over all documents, and the share of every class."""
-    top = counts.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
-    shares = np.full(CLASSES, 1.0)
-    shares[: len(top)] += [r["n"] for r in top]
-    shares[FREQUENT:] += shares.sum() / BUCKETS
-    return [r["w"].encode() for r in top], shares / shares.sum()
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """All words at least as frequent as the least count that no more than ``most`` words reach. The count comes from
+    how many words have each count, so no task sends more than its part of the result."""
+    total, least = 0, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    if least is None:
+        return []
+    return [(r["w"].encode(), r["n"]) for r in counts.where(F.col("n") >= least).collect()]
 
 
-def bucket_sizes(counts: DataFrame, frequent: list[bytes]) -> np.ndarray:
-    """By bucket, the count of its words, each seen once more than it was, with one for a word never seen."""
+def class_sizes(counts: DataFrame, half: int, frequent: list[bytes]) -> np.ndarray:
+    """By class of endings, the count of its words, each seen once more than it was, with one for a word never seen."""
     own = [w.decode() for w in frequent]
     rest = counts.where(~F.col("w").isin(own)) if own else counts
-    sums = rest.groupBy((F.crc32(F.col("w").cast("binary")) % BUCKETS).alias("b")).agg(F.sum(F.col("n") + 1).alias("n"))
-    sizes = np.ones(BUCKETS)
+    coded = F.col("w").cast("binary")
+    ending = F.substring(coded, F.greatest(F.lit(1), F.length(coded) - 1), F.lit(2))
+    sums = rest.groupBy((F.crc32(ending) % half).alias("b")).agg(F.sum(F.col("n") + 1).alias("n"))
+    sizes = np.ones(half)
     for r in sums.collect():
         sizes[r["b"]] += r["n"]
     return sizes
 
 
-def _trained(docs: DataFrame, frequent: list[bytes], start: np.ndarray, step: int) -> np.ndarray:
-    """One round: every task trains on words of all its documents, and the tasks' weights are averaged by the words
-    they saw. Each task sends its weights as rows, which are summed where they meet, never on the driver."""
-    size = len(start)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, start))
-
-    def per_part(batches):
-        named, flat = shared.value
-        classes, net = Classes(named), Network.of(flat)
-        memory = {k: np.full(s, 1e-3, np.float32) for k, s in SHAPES.items()}
-        seen = 0
-        for around, of in _samples(batches, classes, step):
-            net.train(around, of, memory)
-            seen += len(of)
-        if seen:
-            whole = np.rint(net.flat().astype(np.float64) * UNIT).astype(np.int64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(np.append(whole, seen))], names=["i", "v"])
-
-    sums = docs.select("_text").mapInArrow(per_part, "i int, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
-    # As many rows as the network has weights.
-    rows = {r["i"]: int(r["v"]) for r in sums.collect()}
-    if not rows:
-        return start
-    return np.array([rows[i] for i in range(size)], np.float64) / (rows[size] * UNIT)
-
-
-def _samples(batches, classes: Classes, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    arounds, ofs, held = [], [], 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            ids = classes.of(text)
-            at = np.arange((zlib.crc32(text[:64].encode()) + step) % ROUNDS, len(ids), ROUNDS)
-            if not len(at):
-                continue
-            arounds.append(windows(ids, at))
-            ofs.append(ids[at])
-            held += len(at)
-            if held >= BATCH:
-                around, of = np.concatenate(arounds), np.concatenate(ofs)
-                whole = held - held % BATCH
-                yield from ((around[a : a + BATCH], of[a : a + BATCH]) for a in range(0, whole, BATCH))
-                arounds, ofs, held = [around[whole:]], [of[whole:]], held - whole
-    if held:
-        yield np.concatenate(arounds), np.concatenate(ofs)
-
-
 @dataclass(frozen=True)
 class Model:
+    half: int
     frequent: list[bytes]
     weights: np.ndarray
     counts: DataFrame
     sizes: np.ndarray
 
 
-def fit(docs: DataFrame) -> Model:
-    """Train on all of ``docs(text)``. What the corpus sends grows with it: the counts of its words, and the weights of
-    every task in every round."""
-    counts = counted(docs)
-    frequent, shares = frequencies(counts)
-    texts = docs.select(text_or_empty().alias("_text"))
-    weights = Network.fresh(shares).flat().astype(np.float64)
-    for step in range(ROUNDS):
-        weights = _trained(texts, frequent, weights, step)
-    return Model(frequent, weights, counts, bucket_sizes(counts, frequent))
-
-
-def _scores(texts: list[str], classes: Classes, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    ids = [classes.of(t) for t in texts]
-    lengths = np.array([len(x) for x in ids], np.int64)
-    sums, begin = np.zeros(len(ids)), 0
-    while begin < len(ids):
-        end, held = begin, 0
-        while end < len(ids) and (end == begin or held + lengths[end] <= CHUNK):
-            held += lengths[end]
-            end += 1
-        if held:
-            around = np.concatenate([windows(x) for x in ids[begin:end] if len(x)])
-            of = np.concatenate(ids[begin:end])
-            parts = [net.log_chances(around[a : a + CHUNK], of[a : a + CHUNK]) for a in range(0, held, CHUNK)]
-            owner = np.repeat(np.arange(begin, end), lengths[begin:end])
-            sums += np.bincount(owner, np.concatenate(parts).astype(np.float64), len(ids))
-        begin = end
-    return lengths, sums
+def _encoded(docs: DataFrame, frequent: list[bytes], half: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def per_part(batches):
+        classes = Classes(shared.value, half)
+        for batch in batches:
+            ids = [padded(classes.of(t.encode().lower().split()), 2 * half) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood, per_token`` of every row of ``docs(doc_id, text, ...)``: the sum of the
-    log-probability of each word's class given the words on both sides, and that by word.
+    return docs.select(text_or_empty().alias("_text")).mapInArrow(per_part, "ids binary")
 
-    Defined cases: a null, empty or blank text has no words, the sum 0 and no value by word. doc_id may be null or
-    repeated. No rows give no rows. Other columns are not looked at.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((model.frequent, model.weights))
-    frame = docs.select("doc_id", text_or_empty().alias("_text"))
-    schema = frame.drop("_text").schema.add("n_tokens", "long").add("log_likelihood", "double")
+
+def _sums(encoded: DataFrame, size: int, per_batch) -> np.ndarray:
+    """Sum over all texts of what ``per_batch`` yields for lists of them, ``size`` whole numbers each. A task sends its
+    sum as rows, which meet by number: the driver gets one row for each."""
 
     def per_part(batches):
-        named, flat = shared.value
-        classes, net = Classes(named), Network.of(flat)
+        total = np.zeros(size)
         for batch in batches:
-            lengths, sums = _scores(batch.column(1).to_pylist(), classes, net)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(sums)], names=schema.names)
+            for part in per_batch(batch.column(0).to_pylist()):
+                total += part
+        some = np.flatnonzero(total)
+        whole = np.rint(total[some]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(whole)], names=["i", "v"])
+
+    found = np.zeros(size)
+    for r in encoded.mapInArrow(per_part, "i int, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect():
+        found[r["i"]] = float(r["v"])
+    return found
+
+
+def _met(texts: list[bytes], classes: int) -> Iterator[np.ndarray]:
+    around, of, _ = windows(texts)
+    cells = (np.arange(PLACES) * (classes + 1) + around) * classes + of[:, None]
+    yield np.bincount(cells.ravel(), minlength=PLACES * (classes + 1) * classes)
 
-    scored = frame.mapInArrow(per_part, schema).withColumn("log_likelihood", F.round("log_likelihood", 3))
-    return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.round(F.col("log_likelihood") / F.col("n_tokens"), 6)))
+
+def _gradients(texts: list[bytes], net: Network, step: int) -> Iterator[np.ndarray]:
+    """Gradient of the step's words, and their number, in units."""
+    around, of, _ = windows(texts, step)
+    for a in range(0, len(of), BATCH):
+        found = net.gradient(around[a : a + BATCH], of[a : a + BATCH])
+        yield np.append(found, len(of[a : a + BATCH])) * UNIT
+
+
+def fit(docs: DataFrame) -> Model:
+    """Train on all of ``docs(text)``.
+
+    Classes and start follow from counts over all documents. Then come ``STEPS`` steps; in each, all tasks compute the
+    gradient of the same weights, and its sum moves them once. So the model does not depend on how rows are split.
+    """
+    counts = counted(docs)
+    half = half_for(counts.count())
+    top = counts.orderBy(F.desc("n"), "w").limit(half).collect()
+    frequent, classes = [r["w"].encode() for r in top], 2 * half
+    scratch = Scratch(docs.sparkSession, "lm")
+    encoded = scratch.write(_encoded(docs, frequent, half), "encoded")
+    met = _sums(encoded, PLACES * (classes + 1) * classes, lambda texts: _met(texts, classes))
+    weights = Network.from_counts(met.reshape(PLACES, classes + 1, classes)).flat()
+    # Each group of weights moves by a part of its own size.
+    parts = np.split(weights, np.cumsum([int(np.prod(s)) for s in Network.shapes(classes).values()])[:-1])
+    rate = np.concatenate([np.full(len(p), RATE * min(0.3, np.sqrt((p * p).mean()) + 0.01)) for p in parts])
+    drift, spread = np.zeros(len(weights)), np.zeros(len(weights))
+    for step in range(STEPS):
+        net = Network.of(weights, classes)
+        found = _sums(encoded, len(weights) + 1, lambda texts, net=net, step=step: _gradients(texts, net, step))
+        if not found[-1]:
+            continue
+        g = found[:-1] / found[-1]
+        drift, spread = 0.7 * drift + 0.3 * g, 0.9 * spread + 0.1 * g * g
+        toward = drift / (1 - 0.7 ** (step + 1)) / (np.sqrt(spread / (1 - 0.9 ** (step + 1))) + 1e-5)
+        weights = weights - rate * (1 - step / STEPS) * toward
+    scratch.drop("encoded")
+    return Model(half, frequent, weights, counts, class_sizes(counts, half, frequent))
+
+
+def class_sums(texts: list[bytes], net: Network) -> np.ndarray:
+    """By padded text, the sum of the log-probabilities of its words' classes."""
+    sums, begin = np.zeros(len(texts)), 0
+    while begin < len(texts):
+        end, held = begin, 0
+        while end < len(texts) and (end == begin or held + len(texts[end]) <= 16 * CHUNK):
+            held += len(texts[end])
+            end += 1
+        around, of, owner = windows(texts[begin:end])
+        for a in range(0, len(of), CHUNK):
+            part = net.log_chances(around[a : a + CHUNK], of[a : a + CHUNK])
+            sums[begin:end] += np.bincount(owner[a : a + CHUNK], part.astype(np.float64), end - begin)
+        begin = end
+    return sums
 
 
 def token_score(docs: DataFrame, model: Model) -> DataFrame:
-    """As ``score``, of the words themselves: to the log-probability of a word's class comes that of the word within its
-    bucket, by the counts of all documents. A word with a class of its own is its class.
+    """``doc_id, n_tokens, log_likelihood, per_token`` of every row of ``docs(doc_id, text, ...)``: the sum of the
+    log-probability of each word given the words on both sides, and that by word. A word's probability is that of its
+    class, times its share of the class by the counts of all documents; a word with a class of its own is its class.
 
     Words are counted once more than they were seen, and a word never seen once. The counts of the most frequent words
     go to every task; all other words meet theirs in a join.
+
+    Defined cases: a null, empty or blank text has no words, the sum 0 and no value by word. doc_id may be null or
+    repeated. No rows give no rows. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    listed = {r["w"].encode(): math.log(r["n"] + 1) for r in model.counts.orderBy(F.desc("n"), "w").limit(LISTED).collect()}
+    spark, half = docs.sparkSession, model.half
+    listed = {w: math.log(n + 1) for w, n in most_frequent(model.counts, LISTED)}
     shared = spark.sparkContext.broadcast((model.frequent, model.weights, listed, np.log(model.sizes)))
     frame = docs.select("doc_id", text_or_empty().alias("_text"))
     schema = frame.drop("_text").schema.add("n_tokens", "long").add("_sum", "double").add("_rest", ArrayType(StringType()))
 
     def per_part(batches):
         named, flat, known, sizes = shared.value
-        classes, net = Classes(named), Network.of(flat)
-        own = set(named)
+        classes, net = Classes(named, half), Network.of(flat, 2 * half)
+        # A word of its own is all of its class.
+        off = np.append(np.zeros(half), sizes)
+        logs = {**known, **dict.fromkeys(named, 0.0)}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lengths, sums = _scores(texts, classes, net)
-            rests = []
-            for i, text in enumerate(texts):
-                rest = []
-                for w in text.encode().lower().split():
-                    if w not in own:
-                        sums[i] -= sizes[classes[w] - FREQUENT]
-                        if w in known:
-                            sums[i] += known[w]
-                        else:
-                            rest.append(w.decode())
-                rests.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths), pa.array(sums), pa.array(rests, pa.list_(pa.string()))], names=schema.names
-            )
+            coded, lengths, within, rests = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                found = text.encode().lower().split()
+                ids = classes.of(found)
+                share = np.array([logs.get(w, np.nan) for w in found], np.float64)
+                unknown = np.isnan(share)
+                rests.append([found[i].decode() for i in np.flatnonzero(unknown)])
+                within.append(share[~unknown].sum() - off[ids].sum())
+                lengths.append(len(found))
+                coded.append(padded(ids, 2 * half))
+            sums = class_sums(coded, net) + np.array(within)
+            columns = [batch.column(0), pa.array(lengths, pa.int64()), pa.array(sums), pa.array(rests, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     # Written once: the row numbers are fixed from here on.
     scored = frame.mapInArrow(per_part, schema).withColumn("_row", F.monotonically_increasing_id())

@@ -51,10 +51,10 @@ def test_secrets(odd, nothing):
 
 
 def test_masked_lm(odd, nothing):
-    got = rows_of(masked_lm.score(odd, masked_lm.fit(odd)))
+    got = rows_of(masked_lm.token_score(odd, masked_lm.fit(odd)))
     assert len(got) == odd.count()
     assert all((r["log_likelihood"], r["per_token"]) == (0.0, None) for r in got if r["n_tokens"] == 0)
-    assert masked_lm.score(nothing, masked_lm.fit(nothing)).count() == 0
+    assert masked_lm.token_score(nothing, masked_lm.fit(nothing)).count() == 0
 
 
 def test_quality(odd, nothing):
