@@ -147,8 +147,9 @@ def test_owner_specific_and_copied_values(spark):
     assert got[0] == []
 
 
-def test_masked_lm_beats_word_frequencies_on_held_out_text(spark, documents):
-    """Held out: the words around tell more than how frequent a word is."""
+def test_masked_lm_beats_word_frequencies_on_held_out_text(spark):
+    """Held out, of the thousand documents of sf0.01: the words around tell more than how frequent a word is."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, held = documents.where("doc_id % 5 <> 0"), documents.where("doc_id % 5 = 0")
     got = masked_lm.token_score(held, masked_lm.fit(train)).collect()
     counts = Counter(w for r in train.collect() for w in (r["text"] or "").lower().split())
