@@ -6,14 +6,17 @@ successes are the tombstones that readers leave out; its failures name the ends
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.session import delete_folder, written
+from citeflow.session import delete_folder, scratch_folder, written
 
 PAGES_A_WAVE = 100_000  # pages whose outcome is stored together; a broken run loses at most these
 PAGE = ["channel", "end_event_id", "page_no"]
@@ -75,26 +78,70 @@ def apply_deletions(plan: DataFrame, path: str, delete: Delete, pages_a_wave: in
     waves = math.ceil(pages / pages_a_wave)
     begin = 1 + max((int(name.split("=")[1]) for name in _folders(spark, path)), default=-1)
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("event_id")
+    def outcomes(rows: pd.DataFrame) -> list:
         try:
             errors = list(delete(rows))
             if len(errors) != len(rows):
                 raise ValueError(f"{len(errors)} outcomes for {len(rows)} messages")
         except Exception as broken:  # noqa: BLE001 - whatever the caller's function raises is the page's outcome
             errors = [f"{type(broken).__name__}: {broken}"] * len(rows)
-        return rows.assign(deleted=[e is None for e in errors], error=errors)
+        return errors
+
+    def run(batches):
+        # The last page of a batch may go on in the next one, so it waits for it.
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            parts = [b for b in (rest, batch) if b is not None and b.num_rows]
+            if not parts:
+                continue
+            rows, rest = pa.Table.from_batches(parts).combine_chunks(), None
+            cuts = _page_starts(rows)
+            if batch is not None:
+                rest = rows.slice(cuts[-1]).to_batches()[0]
+                rows = rows.slice(0, cuts[-1])
+            if not rows.num_rows:
+                continue
+            cuts = [c for c in cuts if c < rows.num_rows] + [rows.num_rows]
+            # A null would turn the whole numbers of its column into fractions, so such rows are converted by page.
+            frame = None if any(c.null_count for c in rows.columns[:4]) else rows.to_pandas()
+            errors = []
+            for a, z in itertools.pairwise(cuts):
+                errors += outcomes(rows.slice(a, z - a).to_pandas() if frame is None else frame.iloc[a:z])
+            told = {"deleted": pa.array([e is None for e in errors]), "error": pa.array(errors, pa.string())}
+            done = pa.table({c: rows[c] for c in rows.column_names} | told)
+            yield from done.select([c.split()[0] for c in columns.split(", ")]).to_batches()
 
     columns = LEDGER.removesuffix(", wave int")
-    names = [c.split()[0] for c in columns.split(", ")]
+    laid = _by_wave(open_, waves)
     for i in range(waves):
-        part = open_.where(F.pmod(F.xxhash64(*PAGE), F.lit(waves)) == i)
-        # a group is a page, which has a fixed number of messages at most
-        done = part.groupBy(*PAGE).applyInPandas(lambda rows: page(rows)[names], columns)
-        done.write.mode("overwrite").parquet(f"{path}/waves/wave={begin + i}")
+        part = laid.where(F.col("_wave") == i).drop("_wave").repartition(F.xxhash64(*PAGE))
+        # a page is a run of rows, with a fixed number of messages at most
+        pages = part.sortWithinPartitions(*PAGE, F.asc_nulls_last("event_id"))
+        pages.mapInArrow(run, columns).write.mode("overwrite").parquet(f"{path}/waves/wave={begin + i}")
     return ledger(spark, path)
 
 
+def _by_wave(open_: DataFrame, waves: int) -> DataFrame:
+    """Rows with ``_wave``, laid out by it, so that a wave reads its own rows only, however many waves there are."""
+    if waves < 2:
+        return open_.withColumn("_wave", F.lit(0))
+    numbered = open_.withColumn("_wave", F.pmod(F.hash(*PAGE), F.lit(waves)))
+    path = scratch_folder(open_.sparkSession, "waves")
+    numbered.repartition("_wave").write.partitionBy("_wave").parquet(path)
+    return open_.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def _page_starts(rows: pa.Table) -> list[int]:
+    """Where pages begin in rows that lie page by page."""
+    change = np.zeros(rows.num_rows, bool)
+    change[:1] = True
+    for name in PAGE:
+        column = rows[name]
+        change[1:] |= np.diff(column.fill_null(0).to_numpy()) != 0
+        change[1:] |= np.diff(column.is_null().to_numpy().astype(np.int8)) != 0
+    return np.flatnonzero(change).tolist()
+
+
 def compact(spark: SparkSession, path: str) -> None:
     """One wave in place of all: each message once, with its success or else its latest failure. The new wave is complete
     before old ones go, and until then readers see rows twice, which changes no result."""
