@@ -1,6 +1,6 @@
 """The newest lines of log files, read from their ends.
 
-A Python data source with a partition for each file. A task reads blocks from the end backwards and stops at the last line
+A Python data source; a partition is one file, or several of many. A task reads blocks from the end backwards and stops at the last line
 it needs, so what it reads does not grow with the file.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from citeflow.settings import LOG_TAIL_ROWS
 
 BLOCK_BYTES = 64 * 1024
+FILES_A_TASK, TASKS = 256, 64  # at most so many files a task, if there are as many tasks
 SCHEMA = "path string, from_end int, value string"
 
 
@@ -45,9 +46,14 @@ def tail_lines(file, size: int, limit: int, block: int = BLOCK_BYTES):
     return [(i, line) for i, line in enumerate(found, 1)], read
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def files_a_task(files: int) -> int:
+    """Few files are read in a task each. A task has a price of its own, so of many files each task reads several."""
+    return max(1, min(FILES_A_TASK, files // TASKS))
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
@@ -60,19 +66,22 @@ class _Reader(DataSourceReader):
         scheme = self.path[: len(self.path) - len(root)] if self.path.endswith(root) else ""
         info = files.get_file_info(root)
         if info.type == fs.FileType.File:
-            return [_File(self.path)]
+            return [_Files([self.path])]
         found = files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         logs = [f for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
-        return [_File(scheme + f.path) for f in sorted(logs, key=lambda f: f.path)]
+        paths = sorted(scheme + f.path for f in logs)
+        step = files_a_task(len(paths))
+        return [_Files(paths[i : i + step]) for i in range(0, len(paths), step)]
 
     def read(self, partition):
         if partition is None:
             return
-        files, path = fs.FileSystem.from_uri(partition.path)
-        with files.open_input_file(path) as file:
-            lines, _ = tail_lines(file, file.size(), self.limit, self.block)
-        for number, line in lines:
-            yield (partition.path, number, line)
+        for uri in partition.paths:
+            files, path = fs.FileSystem.from_uri(uri)
+            with files.open_input_file(path) as file:
+                lines, _ = tail_lines(file, file.size(), self.limit, self.block)
+            for number, line in lines:
+                yield (uri, number, line)
 
 
 class LogTail(DataSource):
