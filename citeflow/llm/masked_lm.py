@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from citeflow.llm.tables import Scratch, text_or_empty, words
+from citeflow.llm.tables import Scratch, text_or_empty
 
 SIDE, WIDTH = 2, 16  # words seen on each side, size of the hidden layer
 PLACES = 2 * SIDE
@@ -139,10 +140,30 @@ def windows(texts: list[bytes], step: int | None = None) -> tuple[np.ndarray, np
     return around, joined[at], owner[at]
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words of a text in lower case, wherever its words are needed."""
+    return text.lower().encode().split()
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """``w, n``: every word of all documents and how often it is there."""
-    lower = F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counts = docs.select(F.explode(words(lower)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    """``w, n``: every word of all documents and how often it is there. Tasks count on their own first."""
+
+    def rows(seen: Counter) -> pa.RecordBatch:
+        named = pa.array([w.decode() for w in seen], pa.string())
+        return pa.RecordBatch.from_arrays([named, pa.array(seen.values(), pa.int64())], names=["w", "n"])
+
+    def per_part(batches):
+        seen = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(words_of(text))
+                if len(seen) >= MEMO:
+                    yield rows(seen)
+                    seen.clear()
+        yield rows(seen)
+
+    partial = docs.select(text_or_empty().alias("_text")).mapInArrow(per_part, "w string, n long")
+    counts = partial.groupBy("w").agg(F.sum("n").alias("n"))
     return Scratch(docs.sparkSession, "lm").write(counts, "words")
 
 
@@ -188,7 +209,7 @@ def _encoded(docs: DataFrame, frequent: list[bytes], half: int) -> DataFrame:
     def per_part(batches):
         classes = Classes(shared.value, half)
         for batch in batches:
-            ids = [padded(classes.of(t.encode().lower().split()), 2 * half) for t in batch.column(0).to_pylist()]
+            ids = [padded(classes.of(words_of(t)), 2 * half) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return docs.select(text_or_empty().alias("_text")).mapInArrow(per_part, "ids binary")
@@ -300,7 +321,7 @@ def token_score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             coded, lengths, within, rests = [], [], [], []
             for text in batch.column(1).to_pylist():
-                found = text.encode().lower().split()
+                found = words_of(text)
                 ids = classes.of(found)
                 share = np.array([logs.get(w, np.nan) for w in found], np.float64)
                 unknown = np.isnan(share)
