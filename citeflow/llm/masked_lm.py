@@ -21,7 +21,9 @@ PLACES = 2 * SIDE
 STEPS, RATE = 8, 0.1  # step s trains on the places s, s + STEPS, ... of every text; all steps together on every word
 SHARED = 0.4  # how far the places around a word count as independent before training
 SMOOTH = 20.0  # words of context added, dealt out like the classes
-BATCH, CHUNK = 2048, 8192  # words trained on, and scored, at once
+BATCH = CHUNK = 2048  # words trained on, and scored, at once
+BLOCK = 64  # rows of one product of matrices: so few that the library starts no threads beside the task's
+SLICE = 1 << 16  # words whose windows are laid out at once: up to twice as many; a multiple of STEPS
 UNIT = 1 << 24  # sums are of whole multiples of 1/UNIT, so they have no order
 MEMO = 300_000
 LISTED = 100_000  # counts of at most so many words go to every task
@@ -51,6 +53,24 @@ class Classes(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint16, len(found))
 
 
+def _blocks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` in blocks of ``BLOCK``, and those left over."""
+    whole = len(x) // BLOCK * BLOCK
+    return x[:whole].reshape(-1, BLOCK, x.shape[1]), x[whole:]
+
+
+def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` block by block."""
+    whole, rest = _blocks(x)
+    return np.concatenate([(whole @ w).reshape(-1, w.shape[1]), rest @ w])
+
+
+def product_of_columns(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x.T @ y`` block by block."""
+    (a, a_rest), (b, b_rest) = _blocks(x), _blocks(y)
+    return (a.transpose(0, 2, 1) @ b).sum(0) + a_rest.T @ b_rest
+
+
 @dataclass
 class Network:
     """Hidden layer: tanh of the sum of an embedding for each place in the window; then a softmax over classes."""
@@ -100,7 +120,8 @@ class Network:
 
     def log_chances(self, around: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Logarithm of the probability of each class ``of`` between the classes ``around`` it."""
-        scores = self.hidden(around) @ self.w + self.c
+        scores = product(self.hidden(around), self.w)
+        scores += self.c
         scores -= scores.max(axis=1, keepdims=True)
         hit = scores[np.arange(len(of)), of]
         return hit - np.log(np.exp(scores, out=scores).sum(axis=1))
@@ -108,16 +129,17 @@ class Network:
     def gradient(self, around: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Gradient of minus the sum of ``log_chances`` by all weights, in the order of ``flat``."""
         h = self.hidden(around)
-        scores = h @ self.w + self.c
+        scores = product(h, self.w)
+        scores += self.c
         scores -= scores.max(axis=1, keepdims=True)
         chance = np.exp(scores, out=scores)
         chance /= chance.sum(axis=1, keepdims=True)
         chance[np.arange(len(of)), of] -= 1
-        back = (chance @ self.w.T) * (1 - h * h)
+        back = product(chance, self.w.T) * (1 - h * h)
         rows = self.e.shape[1]
         cells = ((around + np.arange(PLACES) * rows)[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
         e = np.bincount(cells, np.repeat(back, PLACES, axis=0).ravel(), self.e.size)
-        return np.concatenate([e, back.sum(0, dtype=np.float64), (h.T @ chance).ravel(), chance.sum(0, dtype=np.float64)])
+        return np.concatenate([e, back.sum(0, dtype=np.float64), product_of_columns(h, chance).ravel(), chance.sum(0, dtype=np.float64)])
 
 
 def padded(ids: np.ndarray, edge: int) -> bytes:
@@ -140,6 +162,24 @@ def windows(texts: list[bytes], step: int | None = None) -> tuple[np.ndarray, np
     return around, joined[at], owner[at]
 
 
+def slices(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Padded texts in lists of a bounded number of words, with the number of each one's text. A long text comes in
+    pieces, each between the classes next to it; they begin at multiples of ``STEPS``, so a word keeps its step."""
+    part, owners, held = [], [], 0
+    for i, text in enumerate(texts):
+        n = len(text) // 2 - PLACES
+        for a in range(0, n, SLICE):
+            b = min(n, a + SLICE)
+            part.append(text[2 * a : 2 * (b + PLACES)])
+            owners.append(i)
+            held += b - a
+            if held >= SLICE:
+                yield part, owners
+                part, owners, held = [], [], 0
+    if part:
+        yield part, owners
+
+
 def words_of(text: str) -> list[bytes]:
     """The words of a text in lower case, wherever its words are needed."""
     return text.lower().encode().split()
@@ -235,17 +275,19 @@ def _sums(encoded: DataFrame, size: int, per_batch) -> np.ndarray:
 
 
 def _met(texts: list[bytes], classes: int) -> Iterator[np.ndarray]:
-    around, of, _ = windows(texts)
-    cells = (np.arange(PLACES) * (classes + 1) + around) * classes + of[:, None]
-    yield np.bincount(cells.ravel(), minlength=PLACES * (classes + 1) * classes)
+    for part, _ in slices(texts):
+        around, of, _ = windows(part)
+        cells = (np.arange(PLACES) * (classes + 1) + around) * classes + of[:, None]
+        yield np.bincount(cells.ravel(), minlength=PLACES * (classes + 1) * classes)
 
 
 def _gradients(texts: list[bytes], net: Network, step: int) -> Iterator[np.ndarray]:
     """Gradient of the step's words, and their number, in units."""
-    around, of, _ = windows(texts, step)
-    for a in range(0, len(of), BATCH):
-        found = net.gradient(around[a : a + BATCH], of[a : a + BATCH])
-        yield np.append(found, len(of[a : a + BATCH])) * UNIT
+    for part, _ in slices(texts):
+        around, of, _ = windows(part, step)
+        for a in range(0, len(of), BATCH):
+            found = net.gradient(around[a : a + BATCH], of[a : a + BATCH])
+            yield np.append(found, len(of[a : a + BATCH])) * UNIT
 
 
 def fit(docs: DataFrame) -> Model:
@@ -281,17 +323,13 @@ def fit(docs: DataFrame) -> Model:
 
 def class_sums(texts: list[bytes], net: Network) -> np.ndarray:
     """By padded text, the sum of the log-probabilities of its words' classes."""
-    sums, begin = np.zeros(len(texts)), 0
-    while begin < len(texts):
-        end, held = begin, 0
-        while end < len(texts) and (end == begin or held + len(texts[end]) <= 16 * CHUNK):
-            held += len(texts[end])
-            end += 1
-        around, of, owner = windows(texts[begin:end])
+    sums = np.zeros(len(texts))
+    for part, owners in slices(texts):
+        around, of, owner = windows(part)
         for a in range(0, len(of), CHUNK):
-            part = net.log_chances(around[a : a + CHUNK], of[a : a + CHUNK])
-            sums[begin:end] += np.bincount(owner[a : a + CHUNK], part.astype(np.float64), end - begin)
-        begin = end
+            found = net.log_chances(around[a : a + CHUNK], of[a : a + CHUNK])
+            some = np.bincount(owner[a : a + CHUNK], found.astype(np.float64), len(part))
+            np.add.at(sums, owners, some)
     return sums
 
 
