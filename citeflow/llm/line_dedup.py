@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ FEW = 8
 # The list of frequent shingles of crowded lines is broadcast: at most so many, seen in so many lines at least.
 HEAVY_FROM, HEAVY_LIST = 4, 500_000
 GROWTH = 1.05  # from one class of sizes to the next
+# Rounds that join crowded lines by hubs, until one joins less than a twentieth of the components: hubs a line is
+# compared with in a round, and rounds at most. What they leave apart is compared completely.
+NEAREST, ROUNDS = 3, 4
 _STEP, _WIDTH = 4, 4 * SHINGLE  # bytes of UTF-32
 
 
@@ -79,23 +83,84 @@ def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where((100 + PERCENT) * common >= PERCENT * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def _ranked(crowd: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(id, root, s, n, rare, central, cls)`` of ``crowd(id, norm, root)``: the shingles, frequent ones last, their
+    number, how many come before the frequent ones, how frequent they are on the whole, and the class of sizes."""
+    sets = scratch.write(crowd.select("id", "root", shingles(F.col("norm")).alias("s")), "crowd")
+    # Any order is exact, so a list that is cut costs time only.
+    heavy = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= HEAVY_FROM)
+    heavy = heavy.orderBy(F.desc("c"), "h").limit(HEAVY_LIST)
+    each = sets.repartition("id").select("id", "root", F.explode("s").alias("h")).join(F.broadcast(heavy), "h", "left")
+    ranked = each.groupBy("id", "root").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)), "h"))).alias("s"),
+        F.sum(F.when(F.col("c").isNull(), 1).otherwise(0)).cast("int").alias("rare"),
+        F.avg(F.log(F.coalesce("c", F.lit(1)))).alias("central"),
+    )
+    ranked = ranked.select("id", "root", F.col("s.h").alias("s"), F.size("s").alias("n"), "rare", "central")
+    ranked = ranked.withColumn("cls", F.floor(F.log("n") / math.log(GROWTH) + 1e-9).cast("int"))
+    ranked = scratch.write(ranked, "ranked")
+    scratch.drop("crowd")
+    return ranked
+
+
+def _hub_pairs(spots: DataFrame, moved: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of each line and the hubs it shares most shingles with, one hub a shingle.
+
+    First, hubs are the lines whose shingles are the most frequent on the whole: they are in the middle of a cluster, so
+    most of it is like them. Later hubs are drawn.
+    """
+    first = F.col("central") if turn == 0 else F.xxhash64("id", F.lit(turn)).cast("double")
+    named = spots.join(moved, "root").select("h", "id", "n", "now", first.alias("first"))
+    held = named.groupBy("h").agg(
+        F.max(F.struct("first", "id", "n", "now")).alias("hub"), F.min("now").alias("r0"), F.max("now").alias("r1")
+    )
+    met = named.join(held.where("r0 < r1").select("h", "hub"), "h").where("now <> hub.now")
+    met = met.where(100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n"))
+    met = met.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("w"))
+    best = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "hub")), asc=False).alias("best"))
+    return best.select(F.explode(F.slice("best", 1, NEAREST)).alias("e"), F.col("id").alias("b")).select(
+        F.least("e.hub", "b").alias("a"), F.greatest("e.hub", "b").alias("b")
+    ).distinct()
+
+
+def _by_hubs(ranked: DataFrame, lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """Components of ``ranked`` joined by rounds of comparisons with hubs: ``(root, now)``, and the links that did it.
+
+    A round compares a line with ``NEAREST`` others at most, so it grows with the lines. It need not find every link.
+    """
+    front = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1 - F.col("rare")
+    shared = F.slice("s", F.col("rare") + 1, F.greatest(F.lit(0), front))
+    spots = scratch.write(ranked.select("id", "root", "n", "central", F.explode(shared).alias("h")), "spots")
+    roots = scratch.write(ranked.select("id", "root"), "roots")
+    moved = scratch.write(roots.select("root").distinct().withColumn("now", F.col("root")), "moved")
+    found, apart = [], moved.count()
+    for turn in range(ROUNDS):
+        asked = scratch.write(_hub_pairs(spots, moved, turn), f"hubs{turn}")
+        links = scratch.write(_similar(asked, lines), f"near{turn}")
+        found.append(links)
+        at = roots.join(moved, "root").select("id", "now")
+        ends = links.join(at.select(F.col("id").alias("a"), F.col("now").alias("ra")), "a")
+        ends = ends.join(at.select(F.col("id").alias("b"), F.col("now").alias("rb")), "b")
+        hung = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch, f"hung{turn}")
+        after = moved.join(hung.withColumnRenamed("node", "now"), "now", "left")
+        moved = scratch.write(after.select("root", F.coalesce("component", "now").alias("now")), f"moved{turn}")
+        before, apart = apart, moved.select("now").distinct().count()
+        if before - apart <= before // 20:
+            break
+    scratch.drop("spots", "roots")
+    return moved, found
+
+
 def _prefix_pairs(crowd: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs ``(a, b)`` of ``crowd(id, norm, root)`` that may be similar and lie in two components; none that is similar
-    is missing.
+    """Pairs ``(a, b)`` of ``crowd(id, norm, root)``, ranked or not, that may be similar and lie in two components; none
+    that is similar is missing.
 
     Sets of n and m shingles with a similarity of 0.8 share at least o = 4/9 (n + m) of them, so under one order of all
     shingles the first n - o + 1 of one and the first m - o + 1 of the other hold a common one. The order puts
     frequent shingles last. Lines are dealt out by classes of sizes, which keeps o close to its exact value: what
     unlike lines of one template share then lies behind their prefixes.
     """
-    sets = scratch.write(crowd.select("id", "root", shingles(F.col("norm")).alias("s")), "crowd")
-    # Any order is exact, so a list that is cut costs time only.
-    heavy = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= HEAVY_FROM)
-    heavy = heavy.orderBy(F.desc("c"), "h").limit(HEAVY_LIST)
-    each = sets.repartition("id").select("id", "root", F.explode("s").alias("h")).join(F.broadcast(heavy), "h", "left")
-    ranked = each.groupBy("id", "root").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)), "h"))).alias("s"))
-    ranked = ranked.select("id", "root", F.col("s.h").alias("s"), F.size("s").alias("n"))
-    ranked = ranked.withColumn("cls", F.floor(F.log("n") / math.log(GROWTH) + 1e-9).cast("int"))
+    ranked = crowd if "s" in crowd.columns else _ranked(crowd, scratch)
     apart = range(int(math.log(100 / PERCENT) / math.log(GROWTH)) + 2)
 
     def shared(m: Column) -> Column:
@@ -132,7 +197,8 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lines = scratch.write(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
     signed = _signatures(lines)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    banded = scratch.write(signed.select("id", F.explode(F.array(*keys)).alias("key")), "bands")
+    # Dealt out once, for the buckets and for their members.
+    banded = signed.select("id", F.explode(F.array(*keys)).alias("key")).repartition("key")
 
     held = banded.groupBy("key").agg(
         F.count("*").alias("c"), F.min("id").alias("hub"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("x")
@@ -142,7 +208,7 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # Texts of the lines that meet another one: the only ones to be compared.
     met_lines = lines.join(members.select("id").distinct(), "id", "left_semi")
     lines = scratch.write(met_lines.select("id", "norm"), "met")
-    scratch.drop("bands", "lines")
+    scratch.drop("lines")
 
     # First the line each one shares most bands with among the buckets' least; that joins most of a
     # large cluster at one comparison a line.
@@ -158,22 +224,27 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
     rooted = scratch.write(rooted.join(mixed.select("key"), "key", "left_semi"), "open")
-    few = rooted.where(F.col("c") <= FEW)
+    # Crowded lines first join by hubs: otherwise all pairs of a large cluster that is still in pieces would be compared.
+    crowd = lines.join(rooted.where(F.col("c") > FEW).select("id", "root").distinct(), "id")
+    ranked = _ranked(crowd, scratch)
+    moved, near = _by_hubs(ranked, lines, scratch)
+    few = rooted.where(F.col("c") <= FEW).join(moved, "root", "left").withColumn("root", F.coalesce("now", "root"))
     pairs = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra")).join(
         few.select("key", F.col("id").alias("b"), F.col("root").alias("rb")), "key"
     ).where("a < b AND ra <> rb").select("a", "b")
-    crowd = lines.join(rooted.where(F.col("c") > FEW).select("id", "root").distinct(), "id")
-    asked = pairs.unionByName(_prefix_pairs(crowd, scratch)).distinct()
+    merged = ranked.join(moved, "root").withColumn("root", F.col("now"))
+    asked = pairs.unionByName(_prefix_pairs(merged, scratch)).distinct()
     apart = scratch.write(
         asked.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "apart"
     )
     more = scratch.write(_similar(apart, lines), "links2")
-    all_found = components(links.unionByName(more), scratch, "two")
+    all_found = components(reduce(DataFrame.unionByName, near, links.unionByName(more)), scratch, "two")
     named = lines.join(all_found.withColumnRenamed("node", "id"), "id").select(
         F.xxhash64("norm").alias("l1"), F.xxhash64(F.lit("b"), "norm").alias("l2"), "component"
     )
     named = scratch.write(named, "classes")
-    scratch.drop("met", "members", "first", "links1", "found1", "open", "crowd", "apart", "links2")
+    scratch.drop("met", "members", "first", "links1", "found1", "open", "ranked", "moved", "apart", "links2")
+    scratch.drop(*[f"{k}{turn}" for turn in range(len(near)) for k in ("hubs", "near", "moved")])
     return named
 
 
@@ -207,8 +278,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lost = lost.groupBy("at._ka", "at._kb").agg(F.sort_array(F.collect_set("at.pos")).alias("_lost"))
     lost = scratch.write(lost, "lost")
     scratch.drop("placed", "classes")
-    rows = docs.select(F.struct("*").alias("row"), *row_key(), "text").join(lost, ["_ka", "_kb"], "left")
-    split = F.split("text", "\n", -1)
+    rows = docs.select(F.struct("*").alias("row"), *row_key()).join(lost, ["_ka", "_kb"], "left")
+    text = F.col("row")["text"]
+    split = F.split(text, "\n", -1)
 
     def without(kept_lines: Column, gone: Column) -> Column:
         # Positions that stay, as runs between the dropped ones: linear in the lines.
@@ -222,10 +294,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         runs = let(F.concat(gone, F.array(F.size(kept_lines))), runs_to)
         return F.array_join(F.flatten(runs), "\n")
 
-    left = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(
+    left = F.when(F.col("_lost").isNull(), text).otherwise(
         let(split, lambda s: let(F.col("_lost"), lambda g: without(s, g)))
     )
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long")
     n_dropped = F.coalesce(F.size("_lost"), F.lit(0)).cast("long")
     return rows.select("row", left.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 

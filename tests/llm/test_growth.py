@@ -1,8 +1,37 @@
 """What grows with the square of a cluster or the size of a batch, and what must not."""
 
+import random
+
 import numpy as np
 
-from citeflow.llm import masked_lm
+from citeflow.llm import line_dedup, masked_lm
+from tests.llm import plain
+
+
+def test_cluster_in_pieces_is_joined_by_hubs(spark, monkeypatch):
+    """Variants of one line, many of them unlike each other, leave few pairs to compare; and all links are found."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9)))
+    base, lines = [word() for _ in range(80)], []
+    for _ in range(400):
+        own = list(base)
+        for at in draw.sample(range(80), draw.randint(0, 4)):
+            own[at] = word()
+        lines.append(" ".join(own))
+    rows = list(enumerate(lines))
+    made, compared = line_dedup._prefix_pairs, []
+
+    def kept(crowd, scratch):
+        compared.append(made(crowd, scratch))
+        return compared[-1]
+
+    monkeypatch.setattr(line_dedup, "_prefix_pairs", kept)
+    monkeypatch.setattr(line_dedup.Scratch, "drop", lambda self, *names: None)
+    got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain.deduped_lines(rows)
+    assert sum(bool(t) for t in want.values()) < 20
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+    assert sum(df.count() for df in compared) <= 50 * len(rows)
 
 
 def test_masked_lm_lays_out_a_bounded_number_of_words(monkeypatch):
