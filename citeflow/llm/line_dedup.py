@@ -17,8 +17,15 @@ SHINGLE = 9  # characters
 PERCENT = 80
 # Ten bands of three values: two lines at 0.8 meet in a band with probability 0.9992.
 BANDS, ROWS = 10, 3
-# Buckets of so many lines are compared pair by pair, larger ones by prefixes.
-FEW = 8
+# A byte of each value is a line's sketch. Lines that share a band agree in half of all values but for 3 in a million pairs
+# at 0.8; lines that only met by chance do not, so their texts are not compared.
+AGREE = BANDS * ROWS // 2
+# Buckets of up to so many lines are compared pair by pair by sketches; larger ones are cut first, by pairs of further
+# values, and what is still larger by another such pair. Two lines at 0.8 share two pairs but for 4 in 100,000.
+MANY, CUTS, TURNS = 32, (BANDS - 1) * ROWS // 2, 2
+# Lines with more candidates than that, and those in buckets that stay larger, are crowded: they are compared by prefixes.
+FEW = 16
+_SKETCH = [f"s{i}" for i in range((BANDS * ROWS + 7) // 8)]
 # The list of frequent shingles of crowded lines is broadcast: at most so many, seen in so many lines at least.
 HEAVY_FROM, HEAVY_LIST = 4, 500_000
 GROWTH = 1.05  # from one class of sizes to the next
@@ -72,6 +79,62 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return hashed.groupBy("id").agg(*[F.min(F.least(*f)).alias(f"m{i}") for i, f in enumerate(halves)])
 
 
+def _bands() -> Column:
+    """The keys of a signature's bands; the last four bits of each are the number of the band, the four before them empty."""
+    hashed = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    return F.array(*[h.bitwiseAND(F.lit(-256)).bitwiseOR(F.lit(b)) for b, h in enumerate(hashed)])
+
+
+def _sketch() -> list[Column]:
+    """A byte of each value of a signature, eight to a number. Of every second value only the upper half is filled."""
+    held = [F.shiftrightunsigned(f"m{i}", 32 * (i % 2)).bitwiseAND(F.lit(255)) for i in range(BANDS * ROWS)]
+    eights = [[F.shiftleft(v, 8 * j) for j, v in enumerate(held[8 * i : 8 * i + 8])] for i in range(len(_SKETCH))]
+    return [reduce(Column.bitwiseOR, e).alias(c) for c, e in zip(_SKETCH, eights, strict=True)]
+
+
+def _agreeing(x: str, y: str) -> Column:
+    """The number of values in which the sketches of ``x`` and ``y`` agree."""
+
+    def unlike(name: str) -> Column:
+        # The lowest bit of a byte becomes the union of its bits.
+        bits = F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}"))
+        for n in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, n))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x0101_0101_0101_0101)))
+
+    return F.lit(BANDS * ROWS) - reduce(Column.__add__, map(unlike, _SKETCH))
+
+
+def _cut(crowded: DataFrame) -> DataFrame:
+    """``(key, c, id, root)`` of the lines of large buckets ``(key, id, root, sketch)`` by buckets that also share two
+    further values, as far as these hold several components. Of a band's buckets of the same lines the one counts that
+    leaves the most pairs to be cut by."""
+    values = [F.shiftrightunsigned(f"s{i // 8}", 8 * (i % 8)).bitwiseAND(F.lit(255)) for i in range(BANDS * ROWS)]
+    after = (F.col("key").bitwiseAND(F.lit(15)).cast("int") + 1) * ROWS  # the first value behind the band
+    two = [[F.get("_v", F.pmod(after + (2 * j + k), F.lit(BANDS * ROWS))) for k in (0, 1)] for j in range(CUTS)]
+    # In front of the band's number stands that of the first pair which has not been used.
+    mark = [F.col("key").bitwiseAND(F.lit(15)).bitwiseOR(F.lit(16 * (j + 1))) for j in range(CUTS)]
+    finer = F.array(*[F.xxhash64("key", *t).bitwiseAND(F.lit(-256)).bitwiseOR(m) for t, m in zip(two, mark, strict=True)])
+    unused = F.slice(finer, F.shiftright("key", 4).bitwiseAND(F.lit(15)).cast("int") + 1, F.lit(CUTS))
+    cut = crowded.withColumn("_v", F.array(*values)).select("id", "root", F.explode(unused).alias("key"))
+    cut = cut.where("key IS NOT NULL").repartition("key")
+    held = cut.groupBy("key").agg(
+        F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"),
+        F.min("id").alias("least"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("x"),
+    ).where("r0 < r1")
+    band, used = F.col("key").bitwiseAND(F.lit(15)), F.col("key").bitwiseAND(F.lit(240))
+    mixed = held.groupBy("c", "least", "last", "x", band.alias("band")).agg(F.min_by("key", used).alias("key")).select("key", "c")
+    return cut.join(mixed, "key").select("key", "c", "id", "root")
+
+
+def _candidates(buckets: DataFrame) -> DataFrame:
+    """``(a, b, ra, rb)``: pairs of a bucket ``(key, id, root, sketch)`` in two components whose sketches are alike."""
+    dealt = buckets.select("key", "id", "root", *_SKETCH).repartition("key")
+    met = dealt.alias("x").join(dealt.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
+                                & (F.col("x.root") != F.col("y.root")) & (_agreeing("x", "y") >= AGREE))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+
+
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sets of shingles are similar enough, compared in full."""
     left = lines.select(F.col("id").alias("a"), F.col("norm").alias("ta"))
@@ -194,27 +257,30 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(_norm(F.col("line")).alias("norm"))
     distinct = texts.where("norm <> ''").distinct()
     # Written once: the numbers are fixed from here on.
-    lines = scratch.write(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
-    signed = _signatures(lines)
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    # Dealt out once, for the buckets and for their members.
-    banded = signed.select("id", F.explode(F.array(*keys)).alias("key")).repartition("key")
+    lines = scratch.write(distinct.withColumn("id", F.monotonically_increasing_id()), "lines", "zstd")
+    signed = scratch.write(_signatures(lines).select("id", _bands().alias("keys"), *_sketch()), "signed")
+    # Dealt out once, for the buckets and for their members; without the condition the join would add it to its own side only.
+    banded = signed.select("id", F.explode("keys").alias("key")).where("key IS NOT NULL").repartition("key")
 
     held = banded.groupBy("key").agg(
         F.count("*").alias("c"), F.min("id").alias("hub"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("x")
     ).where("hub < last")
     buckets = held.groupBy("c", "hub", "last", "x").agg(F.min("key").alias("key"), F.count("*").alias("w"))
     members = scratch.write(banded.join(buckets.select("key", "hub", "w", "c"), "key"), "members")
-    # Texts of the lines that meet another one: the only ones to be compared.
-    met_lines = lines.join(members.select("id").distinct(), "id", "left_semi")
-    lines = scratch.write(met_lines.select("id", "norm"), "met")
-    scratch.drop("lines")
+    # Sketches and texts of the lines that meet another one: the only ones to be compared.
+    ids = scratch.write(members.select("id").distinct(), "ids")
+    sketches = scratch.write(signed.select("id", *_SKETCH).join(ids, "id", "left_semi"), "sketches")
+    scratch.drop("signed")
+    lines = scratch.write(lines.join(ids, "id", "left_semi").select("id", "norm"), "met", "zstd")
+    scratch.drop("lines", "ids")
 
     # First the line each one shares most bands with among the buckets' least; that joins most of a
     # large cluster at one comparison a line.
     met = members.where("id <> hub").groupBy("id", "hub").agg(F.sum("w").alias("w"))
     best = met.groupBy("id").agg(F.max_by("hub", F.struct("w", -F.col("hub"))).alias("a"))
-    first = scratch.write(best.select("a", F.col("id").alias("b")), "first")
+    first = best.select("a", F.col("id").alias("b")).join(sketches.alias("x"), F.col("a") == F.col("x.id"))
+    first = first.join(sketches.alias("y"), F.col("b") == F.col("y.id")).where(_agreeing("x", "y") >= AGREE).select("a", "b")
+    first = scratch.write(first, "first")
     links = scratch.write(_similar(first, lines), "links1")
     found = scratch.write(components(links, scratch, "one"), "found1")
 
@@ -224,14 +290,23 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
     rooted = scratch.write(rooted.join(mixed.select("key"), "key", "left_semi"), "open")
+    levels = [rooted]
+    for turn in range(TURNS):
+        levels.append(scratch.write(_cut(levels[-1].where(F.col("c") > MANY).join(sketches, "id")), f"cut{turn}"))
+    small = reduce(DataFrame.unionByName, levels).where(F.col("c") <= MANY).join(sketches, "id")
+    pairs = scratch.write(_candidates(small).distinct(), "pairs")
     # Crowded lines first join by hubs: otherwise all pairs of a large cluster that is still in pieces would be compared.
-    crowd = lines.join(rooted.where(F.col("c") > FEW).select("id", "root").distinct(), "id")
-    ranked = _ranked(crowd, scratch)
+    ends = F.explode(F.array(*[F.struct(F.col(e).alias("id"), F.col(f"r{e}").alias("root")) for e in ("a", "b")]))
+    often = pairs.select(ends.alias("e")).groupBy("e.id", "e.root").count().where(F.col("count") > FEW).select("id", "root")
+    crowded = scratch.write(levels[-1].where(F.col("c") > MANY).select("id", "root").unionByName(often).distinct(), "crowded")
+    ranked = _ranked(lines.join(crowded, "id"), scratch)
     moved, near = _by_hubs(ranked, lines, scratch)
-    few = rooted.where(F.col("c") <= FEW).join(moved, "root", "left").withColumn("root", F.coalesce("now", "root"))
-    pairs = few.select("key", F.col("id").alias("a"), F.col("root").alias("ra")).join(
-        few.select("key", F.col("id").alias("b"), F.col("root").alias("rb")), "key"
-    ).where("a < b AND ra <> rb").select("a", "b")
+    now, busy = moved.withColumnRenamed("now", "to"), crowded.select("id", F.lit(True).alias("busy"))
+    for end in ("a", "b"):
+        pairs = pairs.join(now.select(F.col("root").alias(f"r{end}"), F.col("to").alias(f"to_{end}")), f"r{end}", "left")
+        pairs = pairs.join(busy.select(F.col("id").alias(end), F.col("busy").alias(f"busy_{end}")), end, "left")
+    # Pairs of two crowded lines are among those by prefixes.
+    pairs = pairs.where("(busy_a IS NULL OR busy_b IS NULL) AND coalesce(to_a, ra) <> coalesce(to_b, rb)").select("a", "b")
     merged = ranked.join(moved, "root").withColumn("root", F.col("now"))
     asked = pairs.unionByName(_prefix_pairs(merged, scratch)).distinct()
     apart = scratch.write(
@@ -243,7 +318,8 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         F.xxhash64("norm").alias("l1"), F.xxhash64(F.lit("b"), "norm").alias("l2"), "component"
     )
     named = scratch.write(named, "classes")
-    scratch.drop("met", "members", "first", "links1", "found1", "open", "ranked", "moved", "apart", "links2")
+    scratch.drop("met", "members", "sketches", "first", "links1", "found1", "open", "pairs", "crowded")
+    scratch.drop("ranked", "moved", "apart", "links2", *[f"cut{turn}" for turn in range(TURNS)])
     scratch.drop(*[f"{k}{turn}" for turn in range(len(near)) for k in ("hubs", "near", "moved")])
     return named
 
